@@ -8,3 +8,16 @@ lazy DataFrame.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Kernels travel with their code, so executors need not have this package
+    on their own path."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
