@@ -73,7 +73,7 @@ def connected_groups(links: DataFrame, left: str = "a", right: str = "b") -> Dat
         pointed = edges.join(least, "u").select(F.col("v").alias("u"), "m").union(least)
         pointed = cut(pointed.distinct())
         parent = pointed.groupBy("u").agg(F.min("m").alias("p"), F.max((F.col("m") == F.col("u"))).alias("own"))
-        forest.append(cut(parent.filter(~F.col("own")).select(F.col("u").alias("vid"), F.col("p").alias("up"))))
+        forest.append(parent.filter(~F.col("own")).select(F.col("u").alias("vid"), F.col("p").alias("up")))
         edges = cut(_both_ways(pointed.join(parent.select("u", "p"), "u").select("p", "m"), "p", "m"))
     pruned = reduce(DataFrame.union, [f.select("vid") for f in forest]) if forest else vertex.select("vid").limit(0)
     labels = vertex.select("vid").join(pruned, "vid", "left_anti").select("vid", F.col("vid").alias("seed"))
