@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrowkit import flat, global_codes, grams, lists, mix, row_ids
@@ -16,8 +17,13 @@ from weftline.session import cut
 
 #: Cells of the sketch that orders grams by rarity: a fixed 2 MB, however much is counted.
 CELLS = 1 << 18
-#: Levels of the counts in the 128-bit outline of a sequence.
-LEVELS = (1, 2, 4, 7)
+#: Grams that two similar sequences must share among the first of both.
+SHARED = 4
+#: Levels of the counts of 32 classes of tokens in the outline of a sequence, two in a 64-bit word.
+LEVELS = (1, 2, 3, 4, 5, 7, 9, 12)
+
+
+WORDS = [f"o{i}" for i in range(len(LEVELS) // 2)]
 
 
 def _count_cells(q: int):
@@ -35,28 +41,26 @@ def _count_cells(q: int):
 
 def prefix_length(n: np.ndarray, q: int, percent: int) -> np.ndarray:
     """How many of the rarest q-grams of a sequence of ``n`` tokens must be
-    looked at so that any partner at least as long shares one of them; the
+    looked at so that any partner at least as long shares SHARED of them; the
     partner needs no more than its own prefix."""
     longest = n * 100 // (100 - percent)
     best = np.ones_like(n)
     for extra in range(int((longest - n).max(initial=0)) + 1):
         fits = n + extra <= longest
         best = np.where(fits, np.maximum(best, q * ((n + extra) * percent // 100) - extra + 1), best)
-    return np.minimum(best, np.maximum(n - q + 1, 0))
+    return np.minimum(best + SHARED - 1, np.maximum(n - q + 1, 0))
 
 
-def outline(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits a row: for 32 classes of tokens, which levels their count
-    reaches. An insertion or deletion changes one bit at most, a substitution two."""
+def outline(codes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """256 bits a row, as four words: for each level and each of 32 classes of
+    tokens, whether the count reaches the level. An insertion or deletion
+    changes one bit at most, a substitution two."""
     rows = len(offsets) - 1
     cell = (mix(codes) >> np.uint64(59)).astype(np.int64)
     counts = np.bincount(row_ids(offsets) * 32 + cell, minlength=rows * 32).reshape(rows, 32)
-    words = [np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)]
-    shift = np.arange(32, dtype=np.uint64)
-    for i, level in enumerate(LEVELS):
-        bits = np.where(counts >= level, np.uint64(1) << shift, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-        words[i // 2] |= bits << np.uint64(32 * (i % 2))
-    return words[0].view(np.int64), words[1].view(np.int64)
+    place = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    halves = [np.where(counts >= level, place, np.uint64(0)).sum(axis=1, dtype=np.uint64) for level in LEVELS]
+    return [(a | b << np.uint64(32)).view(np.int64) for a, b in zip(halves[::2], halves[1::2])]
 
 
 def _prefixes(q: int, percent: int, rarity):
@@ -74,10 +78,10 @@ def _prefixes(q: int, percent: int, rarity):
             first = np.concatenate([[0], np.cumsum(np.maximum(n - q + 1, 0))])[:-1]
             keep = np.arange(len(row)) - first[row] < prefix_length(n, q, percent)[row]
             row, hashes, start = row[keep], hashes[keep], start[keep]
-            s, t = outline(codes, offsets)
+            outlines = [w[row] for w in outline(codes, offsets)]
             yield pa.record_batch(
-                [pa.array(hashes.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(n[row].astype(np.int32)), pa.array((start - offsets[row]).astype(np.int32)), pa.array(s[row]), pa.array(t[row])],
-                names=["gram", "id", "n", "pos", "s", "t"],
+                [pa.array(hashes.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(n[row].astype(np.int32)), pa.array((start - offsets[row]).astype(np.int32)), *map(pa.array, outlines)],
+                names=["gram", "id", "n", "pos", *WORDS],
             )
 
     return run
@@ -143,31 +147,34 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).cast(pa.int64()), lists(global_codes(values).view(np.int64), offsets, pa.int64())], names=["rep", "codes"])
 
 
-def edit_pairs(codes: DataFrame, percent: int = 15, q: int = 5) -> DataFrame:
+def edit_pairs(codes: DataFrame, least: int = 40, percent: int = 15, q: int = 5) -> DataFrame:
     """(id1, id2, distance) of all pairs of (rep, codes) rows, id1 < id2, whose
     edit distance is at most ``percent`` % of the longer length.
 
     Rare-first prefix filtering: q-grams are ordered by how rare they are in
     the whole table (a sketch of fixed size; any common order is right), and
-    two sequences within t edits share a gram, at positions at most t apart,
-    among the first of both. Rows meet on those grams only; lengths, positions
-    and 128-bit outlines of the rest of both sequences must allow t edits, and
-    every pair left is verified once. Needs sequences of at least 40 tokens
-    for q 5 and 15 %: below, a pair may share no gram.
+    two sequences within t edits share SHARED grams, at positions at most t
+    apart, among the first of both. Rows meet on those grams only; lengths,
+    positions and 256-bit outlines of the rest of both sequences must allow t edits, and
+    every pair left is verified once. No sequence may be shorter than ``least``,
+    which must be so long that similar ones share SHARED grams at all.
     """
+    shared = [n - q + 1 - q * (n * percent // 100) for n in range(least, least + 200)]
+    if min(shared) < SHARED:
+        raise ValueError(f"sequences of {least} tokens may share fewer than {SHARED} {q}-grams within {percent} % edits")
     spark = codes.sparkSession
     cells = codes.mapInArrow(_count_cells(q), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     frequency = np.zeros(CELLS, np.int64)
     counted = cells.toPandas()  # at most CELLS rows
     frequency[counted["cell"].to_numpy(np.int64)] = counted["n"]
     rarity = spark.sparkContext.broadcast(frequency)
-    prefix = codes.mapInArrow(_prefixes(q, percent, rarity), "gram bigint, id bigint, n int, pos int, s bigint, t bigint")
-    x = prefix.select("gram", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "s", "t")])
-    y = prefix.select("gram", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "s", "t")])
+    prefix = codes.mapInArrow(_prefixes(q, percent, rarity), ", ".join(["gram bigint, id bigint, n int, pos int", *[f"{w} bigint" for w in WORDS]]))
+    x = prefix.select("gram", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", *WORDS)])
+    y = prefix.select("gram", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", *WORDS)])
     most = F.floor(F.greatest("n1", "n2") * percent / 100)
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) + F.bit_count(F.col("t1").bitwiseXOR(F.col("t2")))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in WORDS])
     cond = (F.col("id1") < F.col("id2")) & (F.abs(F.col("n1") - F.col("n2")) <= most) & (F.abs(F.col("pos1") - F.col("pos2")) <= most) & (differ <= 2 * most)
-    candidates = x.join(y, "gram").filter(cond).select("id1", "id2").distinct()
+    candidates = x.join(y, "gram").filter(cond).groupBy("id1", "id2").count().filter(F.col("count") >= SHARED)
     a = codes.select(F.col("rep").alias("id1"), F.col("codes").alias("c1"))
     b = codes.select(F.col("rep").alias("id2"), F.col("codes").alias("c2"))
     return candidates.join(a, "id1").join(b, "id2").select("id1", "id2", "c1", "c2").mapInArrow(_verify(percent), "id1 bigint, id2 bigint, distance int")
@@ -186,6 +193,6 @@ def near_copy_groups(records: DataFrame, key: str, seq: str, least: int = 40, pe
     rows = records.select(F.col(key).cast("bigint").alias("id"), F.col(seq).alias("seq")).filter(F.size("seq") >= least)
     classes = cut(copy_classes(rows, "id", "seq", least))
     codes = cut(representatives(rows, "id", "seq", classes).mapInArrow(_codes, "rep bigint, codes array<bigint>"))
-    links = edit_pairs(codes, percent, q).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    links = edit_pairs(codes, least, percent, q).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     copies = classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return connected_groups(cut(links.unionByName(copies)))
