@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans import statistics
+
 #: Modules that hold queries; each has QUERIES and SQL.
-MODULES: tuple = ()
+MODULES: tuple = (statistics,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
