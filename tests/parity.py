@@ -44,5 +44,5 @@ def difference(spark, con, query, sql: str, folder: str) -> str:
     got = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=repr)
     if got == want:
         return ""
-    extra, missing = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+    extra, missing = list(set(got) - set(want))[:3], list(set(want) - set(got))[:3]
     return f"{len(got)} rows against {len(want)}; columns {order}; only Spark {extra}; only SQL {missing}"

@@ -23,12 +23,12 @@ def padded_ngrams(sequences: DataFrame, lengths: list[int], keep: list[str]) ->
     def of(n: int):
         padded = F.concat(F.array_repeat(F.lit(BOS), n - 1), "tokens") if n > 1 else F.col("tokens")
         whole = ngrams(padded, n)
-        return F.transform(whole, lambda g: F.struct(F.lit(n).cast("bigint").alias("n"), g.alias("gram")))
+        # no token holds a space; the context is what comes before the last one
+        context = lambda g: F.substring_index(g, " ", n - 1) if n > 1 else F.lit("")
+        return F.transform(whole, lambda g: F.struct(F.lit(n).cast("bigint").alias("n"), context(g).alias("context"), g.alias("gram")))
 
     rows = sequences.select(*keep, F.explode(F.concat(*[of(n) for n in lengths])).alias("g"))
-    # the last token has no space in it; the context is what comes before
-    context = F.when(F.col("g.n") > 1, F.substring_index(F.col("g.gram"), " ", F.col("g.n").cast("int") - 1)).otherwise("")
-    return rows.select(*keep, "g.n", context.alias("context"), F.col("g.gram").alias("gram"))
+    return rows.select(*keep, "g.n", "g.context", "g.gram")
 
 
 def train(sequences: DataFrame, lengths: list[int]) -> DataFrame:

@@ -16,7 +16,10 @@ def motif_counts(units: DataFrame, lengths: list[int]) -> DataFrame:
     """(k, motif, units, occurrences) of the k-mers inside units. Occurrences are
     combined within each unit before the exchange, which then carries one row
     for a motif and unit."""
-    grams = F.concat(*[F.transform(ngrams(F.col("ops"), k), lambda g, k=k: F.struct(F.lit(k).cast("bigint").alias("k"), g.alias("motif"))) for k in lengths])
+    def of(k: int) -> Column:
+        return F.transform(ngrams(F.col("ops"), k), lambda g: F.struct(F.lit(k).cast("bigint").alias("k"), g.alias("motif")))
+
+    grams = F.concat(*[of(k) for k in lengths])
     each = units.select("unit", F.explode(grams).alias("g")).groupBy("unit", "g.k", "g.motif").agg(F.count(F.lit(1)).alias("c"))
     return each.groupBy("k", "motif").agg(F.count(F.lit(1)).alias("units"), F.sum("c").alias("occurrences"))
 

@@ -258,7 +258,7 @@ def _(spark, folder):
 
 
 @query("adaptive_weights", f"""WITH {SQL_F}, x AS (SELECT function_id AS unit, unnest(range(len(ops))) AS pos, ops, len(ops) AS n FROM f)
-SELECT unit, pos, (CASE WHEN pos <= 5 THEN 3.0 ELSE 1.0 END) * (CASE WHEN pos >= n - 6 THEN 3.0 ELSE 1.0 END) * (CASE WHEN pos > 0 AND ops[pos + 1] <> ops[pos] THEN 1.5 ELSE 1.0 END) AS weight FROM x""")
+SELECT unit, pos, (CASE WHEN pos <= 5 THEN 3.0 ELSE 1.0 END) * (CASE WHEN pos >= n - 6 THEN 3.0 ELSE 1.0 END) * (CASE WHEN pos > 0 AND ops[pos + 1] <> ops[pos] THEN 1.5 ELSE 1.0 END)::DOUBLE AS weight FROM x""")
 def _(spark, folder):
     rows = functions(spark, folder).select(F.col("function_id").alias("unit"), F.size("ops").alias("n"), "ops", F.posexplode("ops").alias("p", "tok"))
     p, n = F.col("p"), F.col("n")
