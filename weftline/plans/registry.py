@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import similarity, statistics
+from weftline.plans import labels, similarity, statistics
 
 #: Modules that hold queries; each has QUERIES and SQL.
-MODULES: tuple = (statistics, similarity)
+MODULES: tuple = (statistics, similarity, labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
