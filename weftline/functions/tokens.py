@@ -26,11 +26,21 @@ def words(col: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` for an array-valued ``use``, with ``value`` computed once a
+    row: a lambda that refers to an expression computes it for every element."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
     """All contiguous n-grams as joined strings; empty if there are fewer tokens."""
-    size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), sep))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        size = F.size(t)
+        grams = F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), sep))
+        return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def encode(token: Column, ids: Column, unknown: Column) -> Column:

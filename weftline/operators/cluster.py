@@ -74,7 +74,7 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     l1, l2 = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     means = both.join(l1, "a").join(l2, "b").groupBy("a", "la", "lb").agg(F.avg("d").alias("m"))
     each = means.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("x"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("y"))
-    s = F.coalesce((F.col("y") - F.col("x")) / F.greatest("x", "y"), F.lit(0.0))
+    s = F.coalesce(F.try_divide(F.col("y") - F.col("x"), F.greatest("x", "y")), F.lit(0.0))
     return each.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("items"))
 
 
@@ -88,8 +88,8 @@ def agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
     two = rows.agg(F.sum(pairs("c")).alias("sa"), F.avg(F.col("m") / F.col("c")).alias("purity"))
     three = cols.agg(F.sum(pairs("c")).alias("sb"))
     x = one.join(F.broadcast(two)).join(F.broadcast(three))
-    expected = F.col("sa") * F.col("sb") / pairs("n")
-    return x.select(F.coalesce((F.col("s") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), F.lit(1.0)).alias("ari"), "purity")
+    expected = F.try_divide(F.col("sa") * F.col("sb"), pairs("n"))
+    return x.select(F.coalesce(F.try_divide(F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2 - expected), F.lit(1.0)).alias("ari"), "purity")
 
 
 def pca_scores(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

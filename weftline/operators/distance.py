@@ -46,14 +46,16 @@ def rank_sum(values: DataFrame, group: str, value: str, first: str, second: str)
     ranked = counts.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2)
     s = ranked.agg(F.sum(F.col("c1") * F.col("rank")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
     s = s.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((F.col("n") + 1) - F.col("ties") / (F.col("n") * (F.col("n") - 1))))
-    z = (F.col("u") - F.col("n1") * F.col("n2") / 2 + 0.5) / sd
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((F.col("n") + 1) - F.coalesce(F.try_divide(F.col("ties"), F.col("n") * (F.col("n") - 1)), F.lit(0.0))))
+    z = F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 + 0.5, sd)
     # error function by a polynomial good to 1.5e-7
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)
     erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
     p = F.when(z < 0, (1 - erf) / 2).otherwise((1 + erf) / 2)
-    return s.select("n1", "n2", "u", (1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("r"), p.alias("p"))
+    some = (F.col("n1") > 0) & (F.col("n2") > 0)  # with an empty group nothing is defined
+    r = 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))
+    return s.select("n1", "n2", F.when(some, F.col("u")).alias("u"), F.when(some, r).alias("r"), F.when(some & (sd > 0), p).alias("p"))
 
 
 def permutation_p(pairs: DataFrame, labels: DataFrame, rounds: int = 200, seed: int = 42) -> DataFrame:

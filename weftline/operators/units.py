@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.tokens import ngrams
+from weftline.functions.tokens import bound, ngrams
 
 
 def as_units(df: DataFrame, seq: str, unit: str, upos: str, ops: str, size: int = 1024) -> DataFrame:
@@ -68,18 +68,17 @@ def ngram_counts(units: DataFrame, lengths: list[int], by_seq: bool = False) ->
 
 def lag_pairs(units: DataFrame, lags: int) -> DataFrame:
     """(seq, lag, x, y): tokens ``lag`` places apart, for lags 1 to ``lags``."""
-    wide = with_context(units, lags)
-    chain = F.concat("ops", "next")
-    n, all_n = F.size("ops"), F.size(chain)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(lags)),
-            lambda lag: F.transform(
-                F.filter(F.sequence(F.lit(1), n), lambda i: i + lag <= all_n),
-                lambda i: F.struct(lag.cast("bigint").alias("lag"), F.element_at("ops", i).alias("x"), F.element_at(chain, i + lag).alias("y")),
-            ),
-        )
-    )
+    wide = with_context(units, lags).select("seq", F.size("ops").alias("n"), F.concat("ops", "next").alias("chain"))
+
+    def of(c, n):
+        def at(lag: int):
+            m = F.greatest(F.least(n, F.size(c) - lag), F.lit(0))
+            pair = lambda x, y: F.struct(F.lit(lag).cast("bigint").alias("lag"), x.alias("x"), y.alias("y"))
+            return F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, F.lit(lag + 1), m), pair)
+
+        return F.concat(*[at(lag) for lag in range(1, lags + 1)])
+
+    pairs = bound(F.col("chain"), lambda c: of(c, F.col("n")))
     return wide.select("seq", F.explode(pairs).alias("p")).select("seq", "p.lag", "p.x", "p.y")
 
 

@@ -161,7 +161,7 @@ def _(spark, folder):
     rates = cut(_rates(spark, folder))
     v = rates.filter("n = 1").select(F.col("distinct").alias("v"))
     both = rates.join(F.broadcast(v))
-    return both.select("n", F.col("distinct").alias("distinct_grams"), "total", r6("h").alias("h"), r6(F.log2("v")).alias("max_token_entropy"), r6(F.log2("distinct")).alias("max_gram_entropy"), r6(F.col("h") / F.log2("distinct")).alias("normalized"))
+    return both.select("n", F.col("distinct").alias("distinct_grams"), "total", r6("h").alias("h"), r6(F.log2("v")).alias("max_token_entropy"), r6(F.log2("distinct")).alias("max_gram_entropy"), r6(F.try_divide(F.col("h"), F.log2("distinct"))).alias("normalized"))
 
 
 SEQ_RATES = f"""WITH {SQL_T}, {sql_grams(3)}, c AS (SELECT seq, n, gram, count(*) AS c FROM g WHERE seq IS NOT NULL GROUP BY ALL), h AS (SELECT seq, n, {SQL_H} AS h FROM c GROUP BY ALL)
@@ -197,14 +197,14 @@ def _(spark, folder):
 @query("predictability", f"{RATES}, p AS (SELECT (SELECT rate FROM e WHERE n = 5) / (SELECT log2(distinct_grams) FROM e WHERE n = 1) AS ratio, (SELECT arg_min(n, rate) FROM e WHERE n >= 2) AS best_n) SELECT round(ratio, 6) AS ratio, CAST(best_n AS BIGINT) AS best_n, CASE WHEN ratio < 0.1 THEN 'extreme' WHEN ratio < 0.3 THEN 'high' WHEN ratio < 0.6 THEN 'moderate' WHEN ratio < 0.8 THEN 'some' ELSE 'low' END AS level FROM p")
 def _(spark, folder):
     row = _rates(spark, folder).agg(F.max(F.when(F.col("n") == 5, F.col("rate"))).alias("r5"), F.max(F.when(F.col("n") == 1, F.log2("distinct"))).alias("m"), F.min_by(F.when(F.col("n") >= 2, F.col("n")), F.when(F.col("n") >= 2, F.col("rate"))).alias("best_n"))
-    ratio = F.col("r5") / F.col("m")
+    ratio = F.try_divide(F.col("r5"), F.col("m"))
     return row.select(r6(ratio).alias("ratio"), "best_n", band(ratio, [0.1, 0.3, 0.6, 0.8], ["extreme", "high", "moderate", "some", "low"]).alias("level"))
 
 
 @query("entropy_decay", f"{RATES} SELECT round((a.rate - b.rate) / a.rate, 6) AS decay FROM e a, e b WHERE a.n = 2 AND b.n = 5")
 def _(spark, folder):
     row = _rates(spark, folder).agg(F.max(F.when(F.col("n") == 2, F.col("rate"))).alias("a"), F.max(F.when(F.col("n") == 5, F.col("rate"))).alias("b"))
-    return row.select(r6((F.col("a") - F.col("b")) / F.col("a")).alias("decay"))
+    return row.select(r6(F.try_divide(F.col("a") - F.col("b"), F.col("a"))).alias("decay"))
 
 
 @query("cond_entropy", f"{GRAMS}, b AS (SELECT split_part(gram, ' ', 1) AS a, c FROM c WHERE n = 2), p AS (SELECT a, {SQL_H} AS h FROM b GROUP BY a), q AS (SELECT gram AS a, c FROM c WHERE n = 1) SELECT round(sum(q.c * h) / (SELECT sum(c) FROM q), 6) AS conditional FROM p JOIN q USING (a)")
@@ -366,7 +366,7 @@ def _(spark, folder):
     mi = cut(info.mutual_information(un.lag_pairs(programs(spark, folder), 10), ["lag"]))
     ends = mi.agg(F.max(F.when(F.col("lag") == 1, F.col("mi"))).alias("first"), F.max(F.when(F.col("lag") == 10, F.col("mi"))).alias("last"))
     half = mi.join(F.broadcast(ends)).agg(F.min(F.when(F.col("mi") <= F.col("first") / 2, F.col("lag"))).alias("half_life"))
-    return ends.select(r6((F.col("first") - F.col("last")) / F.col("first")).alias("decay")).join(F.broadcast(half))
+    return ends.select(r6(F.try_divide(F.col("first") - F.col("last"), F.col("first"))).alias("decay")).join(F.broadcast(half))
 
 
 @query("corpus_mi", f"WITH {SQL_T}, {_mi_sql()}, {_mi_body('lag')} SELECT lag, round(mi, 6) + 0.0 AS mi, CAST(n AS BIGINT) AS n FROM mi")
