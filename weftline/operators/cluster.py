@@ -18,20 +18,27 @@ from weftline.session import cut
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
-    """(id, component): the smallest id reachable over the links, by passing
-    minima to neighbours and jumping to the minimum's own minimum."""
-    ends = F.array(F.struct(F.col(left).alias("u"), F.col(right).alias("v")), F.struct(F.col(right).alias("u"), F.col(left).alias("v")))
-    edges = cut(links.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.explode(ends).alias("e")).select("e.u", "e.v").distinct())
-    labels = cut(edges.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")))
+    """(id, component): the smallest id reachable over the links. Alternates
+    large stars (larger neighbours are linked to the neighbourhood's minimum)
+    and small stars (smaller ones and the vertex itself are) until the edges
+    are stars around the smallest ids; the number of rounds grows with the
+    logarithm of the vertices. Null ids link nothing; an id linked with itself
+    only is its own component."""
+    rows = cut(links.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna())
+    edges, seen = rows.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("c").alias("m")).withColumnRenamed("u", "id")
-        hook = labels.join(near, "id").select("id", "c", F.least("c", "m").alias("m"))
-        jump = hook.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        new = cut(hook.join(jump, "m", "left").select("id", "c", F.coalesce("mm", "m").alias("n")))
-        changed = new.filter("n <> c").limit(1).count()
-        labels = new.select("id", F.col("n").alias("c"))
-        if not changed:
-            return labels.withColumnRenamed("c", "component")
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        edges = cut(small.distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == seen:
+            break
+        seen = now
+    alone = rows.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(edges.select(F.col("a").alias("id")), "id", "left_anti")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(alone.select("id", F.col("id").alias("component")))
 
 
 def linkage_labels(distances: DataFrame, at: float, method: str = "average", most: int = 2000) -> DataFrame:
