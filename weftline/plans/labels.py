@@ -334,3 +334,45 @@ def _(spark, folder):
     name = f"grams_{uuid.uuid4().hex}"
     run_to_table(stream_ngrams(rows, 2), name, f"{checkpoint_folder(spark)}/{name}")
     return spark.table(name)
+
+
+@query("catalog_scan", f"WITH {B}, k AS (SELECT binary_id, inode, trim(category) AS category, trim(name) AS name, file_size FROM b WHERE category IS NOT NULL AND file_size <= 100000), d AS (SELECT *, row_number() OVER (PARTITION BY inode ORDER BY category, name, binary_id) AS n FROM k) SELECT binary_id, category, name FROM d WHERE n = 1 OR inode IS NULL ORDER BY category, name, binary_id LIMIT 20")
+def _(spark, folder):
+    """The first 20 programs of the catalogue that aren't too large, each inode once: the limit is the feature."""
+    k = _binaries(spark, folder).filter("category is not null and file_size <= 100000").select("binary_id", "inode", F.trim("category").alias("category"), F.trim("name").alias("name"))
+    k = ds.first_per_inode(k.withColumn("at", F.struct("category", "name", "binary_id")), "inode", "at")
+    return k.orderBy("category", "name", "binary_id").limit(20).select("binary_id", "category", "name")
+
+
+SEEDS = f"""WITH {SQL_T}, s AS (SELECT seed, seq, tok, row_number() OVER (PARTITION BY seed, seq ORDER BY md5(seq || '|' || gpos || '|' || seed), gpos) AS gpos FROM t, (SELECT unnest([1, 2, 3]) AS seed) WHERE seq IS NOT NULL),
+g2 AS (SELECT seed, tok || ' ' || lead(tok) OVER (PARTITION BY seed, seq ORDER BY gpos) AS gram FROM s), c AS (SELECT seed, gram, count(*) AS c FROM g2 WHERE gram IS NOT NULL GROUP BY ALL), h AS (SELECT seed, ({SQL_H}) / 2 AS rate FROM c GROUP BY seed)"""
+
+
+@query("shuffle_seeds", f"{SEEDS} SELECT round(avg(rate), 6) AS mean, round(stddev_pop(rate), 6) + 0.0 AS deviation, stddev_pop(rate) < 0.05 * avg(rate) AS stable FROM h")
+def _(spark, folder):
+    from weftline.operators.cluster import union_all
+    from weftline.operators.units import position_ngrams, shuffled
+
+    units = programs(spark, folder)
+    parts = [position_ngrams(shuffled(units, s), [2]).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).withColumn("seed", F.lit(s)) for s in (1, 2, 3)]
+    h = re.entropy_of(union_all(parts), ["seed"]).select((F.col("h") / 2).alias("rate"))
+    spread = F.stddev_pop("rate")
+    return h.agg(r6(F.avg("rate")).alias("mean"), r6(spread).alias("deviation"), (spread < 0.05 * F.avg("rate")).alias("stable"))
+
+
+CONS = f"""WITH {SQL_T}, dim AS (SELECT trim(name) AS seq, max(trim(category)) AS category FROM binaries GROUP BY 1), x AS (SELECT category, seq, gpos, tok, lead(tok) OVER (PARTITION BY seq ORDER BY gpos) AS nx FROM t JOIN dim USING (seq) WHERE category IS NOT NULL),
+c1 AS (SELECT category, tok, count(*) AS c FROM x GROUP BY ALL), c2 AS (SELECT category, tok, nx, count(*) AS c FROM x WHERE nx IS NOT NULL GROUP BY ALL), h1 AS (SELECT category, {SQL_H} AS h FROM c1 GROUP BY category), h2 AS (SELECT category, ({SQL_H}) / 2 AS h FROM c2 GROUP BY category)"""
+
+
+@query("consistency", f"{CONS} SELECT count(*) AS categories, bool_and(h2.h < h1.h) AS rates_fall, bool_and(h1.h > 1) AS varied, CASE WHEN bool_and(h2.h < h1.h) AND bool_and(h1.h > 1) THEN 'strong' WHEN bool_or(h2.h < h1.h) THEN 'mixed' ELSE 'none' END AS verdict FROM h1 JOIN h2 USING (category)")
+def _(spark, folder):
+    """Do all categories, taken as corpora of their own, show falling entropy rates?"""
+    from weftline.operators.information import entropy_rates
+    from weftline.operators.units import unit_ngrams
+
+    dim = table(spark, folder, "binaries").groupBy(F.trim("name").alias("seq")).agg(F.max(F.trim("category")).alias("category")).filter("category is not null")
+    counts = unit_ngrams(programs(spark, folder), [1, 2]).groupBy("seq", "n", "gram").agg(F.count(F.lit(1)).alias("c")).join(dim, "seq").groupBy("category", "n", "gram").agg(F.sum("c").alias("c"))
+    rates = entropy_rates(counts, ["category"]).groupBy("category").agg(F.max(F.when(F.col("n") == 1, F.col("h"))).alias("h1"), F.max(F.when(F.col("n") == 2, F.col("rate"))).alias("h2")).dropna()
+    falls = F.col("h2") < F.col("h1")
+    verdict = F.when(F.bool_and(falls) & F.bool_and(F.col("h1") > 1), "strong").when(F.bool_or(falls), "mixed").otherwise("none")
+    return rates.agg(F.count(F.lit(1)).alias("categories"), F.bool_and(falls).alias("rates_fall"), F.bool_and(F.col("h1") > 1).alias("varied"), verdict.alias("verdict"))
