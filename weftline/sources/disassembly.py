@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Line formats of disassembly listings.
 HEADER = r"^([0-9a-f]+) <(.+?)>:$"
 WITH_BYTES = r"^\s*([0-9a-f]+):\t[0-9a-f ]+\t\s*([a-zA-Z][a-zA-Z0-9]*)(.*)$"
 WITHOUT_BYTES = r"^\s*([0-9a-f]+):\s+([a-zA-Z][\w.]*)\s*(.*)$"
