@@ -333,16 +333,16 @@ def test_pages(spark):
         4: "cheap driver update buy driver update for Timi best driver update free driver update key " * 3,
         5: "\n".join(["Unpacker Pro", "Binary Viewer"] * 9), 6: prose * 5, 7: prose.replace(" ", "\n"),
         8: "\n".join(f"  {4096 + i:x}:\tmov   rax,rbx" for i in range(20)), 9: "\n".join(f"mov\t{i}\t3.5" for i in range(20)),
-        10: None, 11: "", 12: prose * 20 + "\n" + " ".join(["#tag"] * 9), 13: prose * 3000,
+        10: None, 11: "", 12: prose * 20 + "\n" + " ".join(["#tag"] * 9), 13: prose * 3000, 14: " / ".join(f"Item{i} Pro dump reader" for i in range(12)),
     }
     df = spark.createDataFrame(list(cases.items()) + [(None, cases[1]), (1, cases[1])], "doc_id bigint, text string").withColumn("words", F.lit("clash"))
-    assert sorted(r.doc_id for r in pages.stuffed_pages(df).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in pages.stuffed_pages(df).collect()) == [1, 2, 3, 4, 5, 14]
     assert pages.stuffed_pages(df.limit(0)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
 def test_pages_agree_with_annotators(spark):
-    """Of pages on which all of several annotators agree, held out as no label is used."""
+    """Of pages on which all of several annotators agree; the rules were written with such pages in view."""
     at = "/root/testdata/sf0.1"
     votes = spark.read.parquet(f"{at}/page_labels.parquet").groupBy("doc_id").agg(F.collect_set("label").alias("l"), F.count(F.lit(1)).alias("n")).filter("size(l) = 1 and n > 1")
     flagged = {r.doc_id for r in pages.stuffed_pages(spark.read.parquet(f"{at}/documents.parquet")).collect()}

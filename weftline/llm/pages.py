@@ -18,6 +18,8 @@ LISTING = re.compile(r"^\s*[0-9a-f]+:\s|^\s*[0-9a-f]{6,}\s+<[^>]*>:?\s*$", re.I)
 STOP = re.compile(r"[^\W_][.?!]['\"”)]*(?=\s|$)")
 NUMBERED = re.compile(r"^(?:\d+[.)]|[-*+•])\s+")
 WORD = re.compile(r"[^\W\d_]+")
+#: Marks that part the entries of a list and no clauses of a sentence.
+APART = r"\s*[|•·]\s*|\s[/~»]\s"
 #: Longest line, in words, that can be an entry of a list, and fewest entries of a list.
 ENTRY, ENTRIES = 7, 4
 #: Words without an end of sentence from which a stretch isn't prose, and the
@@ -76,10 +78,12 @@ def line_shape(line: str) -> tuple[str, int, str]:
     if any(PRICE.match(t) for t in tokens) and n <= 14 and not stops and (NUMBERED.match(line.strip()) or line.rstrip().endswith("]")):
         return shape("product")
     low = [w.lower() for w in words]
-    for mark in ("|", ",", ";", "•", "·"):
-        parts = [p.split() for p in body.split(mark)]
+    for mark in (APART, ",", ";"):
+        parts = [p.split() for p in re.split(mark, body)]
         if len(parts) >= ENTRIES and max(map(len, parts)) <= ENTRY and stops <= len(parts) // 8:
-            if mark in "|•·" or (_variety(low) < 0.75 and not stops):
+            # commas and semicolons also part clauses, so those lists must be long or repeat themselves
+            several = len(parts) >= 2 * ENTRIES and sum(len(p) > 1 for p in parts) * 4 >= len(parts) * 3
+            if mark == APART or (not stops and (several or _variety(low) < 0.75)):
                 return shape("cells")
     if n >= STRETCH and stops * 40 <= n and _variety(low) < REPEATED + 0.1:
         return shape("stuffed")
