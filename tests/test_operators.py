@@ -102,6 +102,29 @@ def test_clone_types(spark):
     assert got == [1, 2, 2, 0, 0, 3]
 
 
+def test_similar_units_near_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):  # pairs of about 0.5 to 0.6, of which eight bands of four find under two thirds
+        base = [f"o{x}" for x in rng.integers(0, 300, 40)]
+        rows += [base, base[:28] + [f"o{x}" for x in rng.integers(0, 300, 11)]]
+    sets = [{" ".join(r[i : i + 3]) for i in range(len(r) - 2)} for r in rows]
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    units = spark.createDataFrame(list(enumerate(rows)) + [(999, ["a"])], "unit bigint, ops array<string>")
+    assert len(want) >= 50 and {(r.a, r.b) for r in clones.similar_units(units, 3, 0.5).collect()} == want
+
+
+def test_clones_hold_all_pairs_of_the_table(spark, folder):
+    from weftline.plans import similarity
+
+    reps = {r.unit: r.ops for r in similarity._reps(spark, folder).collect()}
+    sets = {u: {" ".join(o[i : i + 3]) for i in range(len(o) - 2)} for u, o in reps.items()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    score = lambda x, y: clones.local_score(np.array(x, object), np.array(y, object)) / (2 * min(len(x), len(y)))
+    want = {(a, b) for a, b in alike if score(reps[a], reps[b]) >= 0.3}
+    assert {(r.a, r.b) for r in similarity.found_clones(spark, folder).collect()} == want
+
+
 def test_families_fold_in_order(spark):
     rows = spark.createDataFrame([("f", 2, list("abxc")), ("f", 1, list("abcd")), ("g", 3, list("zz"))], "family string, unit bigint, ops array<string>")
     got = {r.family: (r.size, r.core) for r in clones.families(rows).collect()}

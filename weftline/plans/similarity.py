@@ -282,11 +282,17 @@ def _(spark, folder):
     return cl.exact_jaccard(pairs, reps, 3).filter("jaccard >= 0.5").select("a", "b", r6("jaccard").alias("jaccard"))
 
 
+@query("jaccard_pairs_all", f"{REPS}, sh AS (SELECT DISTINCT unit, unnest(list_transform(range(len(ops) - 2), lambda i: array_to_string(ops[i + 1 : i + 3], ' '))) AS s FROM rep), nn AS (SELECT unit, count(*) AS n FROM sh GROUP BY unit), cc AS (SELECT p.unit AS a, q.unit AS b, count(*) AS c FROM sh p JOIN sh q ON p.s = q.s AND p.unit < q.unit GROUP BY ALL) SELECT cc.a, cc.b, round(c / (p.n + q.n - c), 6) AS jaccard FROM cc JOIN nn p ON p.unit = cc.a JOIN nn q ON q.unit = cc.b WHERE c / (p.n + q.n - c) >= 0.5")
+def _(spark, folder):
+    """All similar pairs, where jaccard_pairs has those of its bands."""
+    return cl.similar_units(cut(_reps(spark, folder)), 3, 0.5).select("a", "b", r6("jaccard").alias("jaccard"))
+
+
 @query("found_clones")
 def found_clones(spark, folder):
-    """Candidates with exact similarity, alignment and clone type."""
-    reps, pairs = _candidates(spark, folder)
-    alike = cut(cl.exact_jaccard(pairs, reps, 3).filter("jaccard >= 0.5"))
+    """All pairs of at least 0.5 with exact similarity, alignment and clone type."""
+    reps = cut(_reps(spark, folder))
+    alike = cut(cl.similar_units(reps, 3, 0.5))
     scored = cl.pair_scores(alike, reps, ["local"]).join(alike, ["a", "b"])
     scored = scored.withColumn("alignment", cl.normalized(F.col("local"), F.col("na"), F.col("nb")))
     return scored.select("a", "b", "jaccard", "alignment", cl.clone_type(F.col("jaccard"), F.col("alignment")).alias("clone_type")).filter("clone_type > 0")
