@@ -131,6 +131,31 @@ def test_families_fold_in_order(spark):
     assert got == {"f": (2, "a b c"), "g": (1, "z z")}
 
 
+def test_families_use_whole_sequences(spark):
+    rows = spark.createDataFrame([("f", 1, ["a"] * 200 + ["b"] * 200), ("f", 2, ["a"] * 200 + ["c"] * 600)], "family string, unit bigint, ops array<string>")
+    (got,) = clones.families(rows).collect()
+    assert got.core == " ".join(["a"] * 200) and got.divergence == pytest.approx(1 - 200 / 600)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_common_subsequence_against_table(x, y):
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
+    i, j, want = len(x), len(y), []
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            want.append(x[i - 1])
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] >= t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    assert clones.common_subsequence(x, y) == want[::-1]
+
+
 def test_components_chain_cycle_and_self(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 5)], "a bigint, b bigint")
     got = {r.id: r.component for r in cluster.components(links, "a", "b").collect()}
