@@ -278,6 +278,26 @@ def test_near_runs(spark):
         runs.collapse_runs(events(spark, rows), "f", "at", "op", "row", similarity=0.6)
 
 
+def test_near_runs_pass_multiples_of_4096(spark, monkeypatch):
+    rows = [(1, 4093 + i, ("movsd", "movss")[i % 2], i) for i in range(6)] + [(1, 5000 + i, "movsd", 10 + i) for i in range(3)] + [(1, 5100, "movsd", 20)]
+    rows += [(2, 4000 + i, "call", 30 + i) for i in range(200)] + [(3, 8190 + i, ("movss", "movsd", "call")[i % 3], 300 + i) for i in range(4)]
+    table = spark.createDataFrame(rows, "function_id bigint, address bigint, mnemonic string, instr_id bigint")
+    monkeypatch.setattr(queries, "table", lambda *_: table)
+    got = sorted((r.function_id, r.opcode, r.instructions, r.start_address, r.end_address) for r in queries.p7_near_runs(spark, "").collect())
+    assert got == [(1, "movsd", 6, 4093, 4098), (2, "call", 200, 4000, 4199)]
+
+
+def test_near_runs_against_the_queue(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for f in range(5):
+        at = np.cumsum(rng.choice([1, 4, 20, 100], 4000, p=[0.6, 0.3, 0.09, 0.01])).tolist()
+        rows += [(f, a, str(rng.choice(["mov", "movs", "movsd", "movss", "call", "cmp"])), f * 4000 + i) for i, a in enumerate(at)]
+    got = sorted(map(tuple, runs.collapse_runs(events(spark, rows), "f", "at", "op", "row", similarity=0.6, max_gap=64).collect()))
+    want = [(f, *run) for f in range(5) for run in runs.agglomerate([(op, 1, at, at) for g, at, op, _ in rows if g == f], 0.6, 64)]
+    assert got == sorted(want)
+
+
 # 8
 
 

@@ -115,7 +115,7 @@ def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_near_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of near-identical opcodes too (``movsd movss``), at most 64 addresses apart."""
-    out = _runs(spark, folder, similarity=0.6, max_gap=64, span=4096)
+    out = _runs(spark, folder, similarity=0.6, max_gap=64)
     return out.filter("n >= 4").select("function_id", F.col("event").alias("opcode"), F.col("n").alias("instructions"), F.col("first").alias("start_address"), F.col("last").alias("end_address"))
 
 

@@ -123,7 +123,8 @@ def _collapse(max_gap: int | None, least: float, span: int | None):
                 if held and held[-1][0] == e and (max_gap is None or a - held[-1][3] <= max_gap):
                     held[-1] = (e, held[-1][1] + n, held[-1][2], b)
                 else:
-                    if least >= 1 and held:  # it can't grow any more
+                    # it can't grow any more; below 1 only a gap keeps neighbours apart whatever merges first
+                    if held and (least >= 1 or (max_gap is not None and a - held[-1][3] > max_gap)):
                         done += emit(held, owner, False)
                         held = []
                     held.append((e, n, a, b))
@@ -141,24 +142,28 @@ def collapse_runs(events: DataFrame, entity: str, at: str, event: str, row: str,
     places it extends over; its duration is ``last - first``.
 
     ``similarity`` 1 merges equal events only; below 1 near-identical ones too
-    (Dice similarity of character pairs), and then ``span`` must be set: a run
-    does not extend over a multiple of ``span``, which bounds what one merge
-    sees. ``max_gap``: neighbours further apart stay apart. Rows with a null
+    (Dice similarity of character pairs), and then ``max_gap`` or ``span`` must
+    be set, which bounds what one merge sees: neighbours further apart than
+    ``max_gap`` stay apart, which loses no merge, and where ``span`` is set a run
+    does not extend over a multiple of it. Rows with a null
     entity, place or event are left out before anything is computed; rows that
     repeat a ``row`` id at the same place count once. Empty input gives no rows.
 
     Rows are range-partitioned by entity *and* place, so an entity with a third
     of all rows is spread over many tasks. Runs at the ends of a partition are
     joined again afterwards; they are at most two rows a partition and entity.
+    Below similarity 1 without ``span`` an entity's rows pass through one task,
+    which holds the runs since the last gap.
     """
-    if similarity < 1 and not span:
-        raise ValueError("similarity below 1 needs span, which bounds the merging")
+    if similarity < 1 and not span and max_gap is None:
+        raise ValueError("similarity below 1 needs max_gap or span, which bound the merging")
     rows = events.select(F.col(entity).cast("bigint").alias("entity"), F.col(at).cast("bigint").alias("at"), F.col(row).cast("bigint").alias("row"), F.col(event).alias("event"))
     rows = rows.dropna(subset=["entity", "at", "event"])
+    whole = similarity < 1 and not span  # like neighbours merge in an order that no border may disturb
     place = [F.floor(F.col("at") / span).alias("block")] if span else [F.col("at")]
-    rows = rows.repartitionByRange("entity", *place).sortWithinPartitions("entity", "at", "row", "event")
+    rows = (rows.repartition("entity") if whole else rows.repartitionByRange("entity", *place)).sortWithinPartitions("entity", "at", "row", "event")
     runs = rows.mapInArrow(_collapse(max_gap, similarity, span), RUNS)
-    if span:  # partitions end where blocks end
+    if span or whole:  # partitions end where blocks or entities end
         return runs.select("entity", "event", "n", "first", "last")
     return _stitch(runs, max_gap)
 
