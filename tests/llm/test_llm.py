@@ -360,6 +360,18 @@ def test_pages(spark):
     assert pages.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_pages_of_other_lines(spark):
+    names = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "sa", "te", "vo") for b in ("dem", "fin", "gor", "hup", "jat", "lig", "mun", "pes")]
+    lines = ["The old parser reads every line of input before it", "stops and then nobody in our group can say with", "confidence whether those results came from the cache or"]
+    cases = {
+        1: "\n".join(["cheap driver update buy driver update cheap driver update"] * 5), 2: ", ".join(names[:24]), 3: " ".join(names * 5),
+        4: "\n".join(f"{n.title()} file cleaner {i}4.99" for i, n in enumerate(names[:9])), 5: "\n".join(f"{n} ${i}.50" for i, n in enumerate(names[:6])),
+        6: "\n".join(lines), 7: "\n".join(f"{n} {i}.50" for i, n in enumerate(names[:9])), 8: ", ".join(f"{i}.5" for i in range(30)),
+    }
+    df = spark.createDataFrame(list(cases.items()), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in pages.stuffed_pages(df).collect()) == [1, 2, 3, 4, 5]
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
 def test_pages_agree_with_annotators(spark):
     """Of pages on which all of several annotators agree; the rules were written with such pages in view."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ TAG = re.compile(r"^#\w[\w-]*[,;]?$")
 PRICE = re.compile(r"^[$€£]?\d+[.,]\d\d[$€£]?$")
 LISTING = re.compile(r"^\s*[0-9a-f]+:\s|^\s*[0-9a-f]{6,}\s+<[^>]*>:?\s*$", re.I)
 STOP = re.compile(r"[^\W_][.?!]['\"”)]*(?=\s|$)")
+#: An end of sentence at the end of a line, also after a space or in other scripts.
+ENDED = re.compile(r"[.?!…。？！]['\"”»)]*\s*$")
 NUMBERED = re.compile(r"^(?:\d+[.)]|[-*+•])\s+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Marks that part the entries of a list and no clauses of a sentence.
@@ -49,11 +52,22 @@ def _variety(words: list[str]) -> float:
     return sum(sample) / len(sample)
 
 
+def _repeats(words: list[str]) -> bool:
+    """Whether an unpunctuated stretch repeats itself: within 40 words, in its
+    runs of three words (a cycle of any length), or by having far fewer
+    different words than a text of its length."""
+    if _variety(words) < REPEATED + 0.1:
+        return True
+    threes = list(zip(words, words[1:], words[2:]))
+    return len(words) >= 40 and (len(set(threes)) < 0.5 * len(threes) or len(set(words)) < 1.5 * len(words) ** 0.7)
+
+
 def line_shape(line: str) -> tuple[str, int, str]:
     """(kind, words, shape) of a line. Kinds: ``links``, ``tags``, ``product``,
     ``cells`` (separated short entries), ``stuffed`` (a long stretch of few
-    repeated words), ``listing``, ``table``, ``sentence`` and ``entry`` (a short
-    line; its neighbours decide). The shape holds the number of words, their
+    repeated words), ``listing``, ``table``, ``sentence``, and ``entry``, ``loose``
+    and ``priced`` (a short line, a longer one without end of sentence, a name and
+    its price; their neighbours decide). The shape holds the number of words, their
     capitals, the separators and the links."""
     tokens = line.split()
     n = len(tokens)
@@ -77,18 +91,25 @@ def line_shape(line: str) -> tuple[str, int, str]:
     stops = len(STOP.findall(body))
     if any(PRICE.match(t) for t in tokens) and n <= 14 and not stops and (NUMBERED.match(line.strip()) or line.rstrip().endswith("]")):
         return shape("product")
+    numbers = [t for t in tokens if any(c.isdigit() for c in t)]
+    if n <= 14 and not stops and len(numbers) == 1 and words and numbers[0] in (tokens[0], tokens[-1]) and PRICE.match(numbers[0]):
+        # a bare number may as well be a measurement, so it must have a sign or follow a mark or a name of several words
+        if numbers[0][0] in "$€£" or numbers[0][-1] in "$€£" or (n > 2 and tokens[-2] in ("-", "–", "—", ":")) or (len(words) > 1 and words[0][0].isupper()):
+            return shape("priced")
     low = [w.lower() for w in words]
     for mark in (APART, ",", ";"):
         parts = [p.split() for p in re.split(mark, body)]
         if len(parts) >= ENTRIES and max(map(len, parts)) <= ENTRY and stops <= len(parts) // 8:
             # commas and semicolons also part clauses, so those lists must be long or repeat themselves
-            several = len(parts) >= 2 * ENTRIES and sum(len(p) > 1 for p in parts) * 4 >= len(parts) * 3
+            several = len(parts) >= 2 * ENTRIES and sum(len(p) > 1 or (len(p) == 1 and p[0][0].isalpha()) for p in parts) * 4 >= len(parts) * 3
             if mark == APART or (not stops and (several or _variety(low) < 0.75)):
                 return shape("cells")
-    if n >= STRETCH and stops * 40 <= n and _variety(low) < REPEATED + 0.1:
+    if n >= STRETCH and stops * 40 <= n and _repeats(low):
         return shape("stuffed")
     if not stops and 0 < n <= ENTRY:
         return shape("entry")
+    if not stops and n and not ENDED.search(body):
+        return shape("loose")
     return shape("sentence")
 
 
@@ -99,27 +120,45 @@ def page_words(text: str | None) -> tuple[int, Counter]:
     are prose broken into short lines."""
     found: Counter = Counter()
     total = 0
-    entries: list[tuple[str, int, str]] = []
+    stretch: list[tuple[str, str, int, str]] = []  # neighbouring lines without end of sentence
 
-    def close() -> None:
+    def close_entries(entries: list[tuple[str, str, int, str]]) -> None:
         if len(entries) >= ENTRIES:
-            words = [w.lower() for line, _, _ in entries for w in WORD.findall(line)]
-            several = sum(n for _, n, _ in entries) / len(entries)
-            lines = {re.sub(r"\W+", " ", line.lower()).strip() for line, _, _ in entries}
+            words = [w.lower() for _, line, _, _ in entries for w in WORD.findall(line)]
+            several = sum(n for _, _, n, _ in entries) / len(entries)
+            lines = {re.sub(r"\W+", " ", line.lower()).strip() for _, line, _, _ in entries}
             # single words recur in prose too, so a list of them must repeat more
             repeats = len(lines) < (0.7 if several >= 1.6 else 0.35) * len(entries)
             if repeats or (several >= 1.6 and _variety(words) < 0.85):
-                for _, n, shape in entries:
+                for _, _, n, shape in entries:
                     found[shape] += n
-        entries.clear()
+
+    def close() -> None:
+        loose = any(kind == "loose" for kind, _, _, _ in stretch)
+        if loose and _repeats([w.lower() for kind, line, _, _ in stretch for w in WORD.findall(line)]):
+            for _, _, n, shape in stretch:
+                found[shape] += n
+        else:
+            for kind, group in groupby(stretch, key=lambda x: x[0]):
+                lines = list(group)
+                if kind == "entry":
+                    close_entries(lines)
+                elif kind == "priced" and len(lines) >= ENTRIES:
+                    for _, _, n, shape in lines:
+                        found[shape] += n
+                elif kind == "loose":
+                    for _, line, n, shape in lines:
+                        if _repeats([w.lower() for w in WORD.findall(line)]):
+                            found[shape] += n
+        stretch.clear()
 
     for line in (text or "").split("\n"):
         if not line.strip():
             continue
         kind, n, shape = line_shape(line)
         total += n
-        if kind == "entry":
-            entries.append((line, n, shape))
+        if kind in ("entry", "loose", "priced"):
+            stretch.append((kind, line, n, shape))
             continue
         close()
         if kind in ("links", "tags", "product", "cells", "stuffed"):
