@@ -372,6 +372,14 @@ def test_pages_of_other_lines(spark):
     assert sorted(r.doc_id for r in pages.stuffed_pages(df).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_pages_of_many_shapes(spark):
+    words = ["Alpha", "beta", "GAMMA"]
+    links = "\n".join(f"{' '.join(words[i % 3] for _ in range(n))}{mark} http://a{n}{i}.test/x" for i in range(3) for n in range(1, 6) for mark in ("", ":", " |", " -"))
+    assert len(pages.page_words(links)[1]) >= 24
+    df = spark.createDataFrame([(1, links)], "doc_id bigint, text string")
+    assert [r.doc_id for r in pages.stuffed_pages(df).collect()] == [1]
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
 def test_pages_agree_with_annotators(spark):
     """Of pages on which all of several annotators agree; the rules were written with such pages in view."""

@@ -190,9 +190,8 @@ def page_shapes(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(_judge, "doc_id bigint, words bigint, listed bigint, dominant bigint, shape string")
 
 
-def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.5, few: float = 0.7) -> DataFrame:
+def stuffed_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.5) -> DataFrame:
     """(doc_id, shape) of the pages of which more than ``share`` of the words are
-    in non-sentence shapes, few of which (eight at most) hold the share ``few``
-    of those words."""
+    in non-sentence shapes, however many those are, with the commonest shape."""
     pages = page_shapes(documents, key, text)
-    return pages.filter((F.col("listed") > share * F.col("words")) & (F.col("dominant") >= few * F.col("listed"))).select("doc_id", "shape").dropDuplicates(["doc_id"])
+    return pages.filter(F.col("listed") > share * F.col("words")).select("doc_id", "shape").dropDuplicates(["doc_id"])
