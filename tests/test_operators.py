@@ -156,6 +156,23 @@ def test_common_subsequence_against_table(x, y):
     assert clones.common_subsequence(x, y) == want[::-1]
 
 
+def test_motifs_of_all_lengths(spark, folder):
+    from collections import Counter
+
+    from weftline.plans import common, registry
+
+    rows = [r.ops for r in common.functions(spark, folder).select("ops").collect()]
+    seen, held = Counter(), Counter()
+    for o in rows:
+        found = [(k, " ".join(o[i : i + k])) for k in range(4, 13) for i in range(len(o) - k + 1)]
+        seen.update(found)
+        held.update(set(found))
+    want = {(*m, held[m], c) for m, c in seen.items() if c >= max(5, len(rows) * 5 // 1000) and held[m] >= max(1, len(rows) // 100)}
+    got = {(r.k, r.motif, r.units, r.occurrences) for r in registry.queries()["motifs_k_all"](spark, folder).collect()}
+    assert got == want and max(k for k, *_ in got) > 6
+    assert {r.k for r in registry.queries()["motif_topk_all"](spark, folder).collect()} == {k for k, *_ in want}
+
+
 def test_components_chain_cycle_and_self(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 5)], "a bigint, b bigint")
     got = {r.id: r.component for r in cluster.components(links, "a", "b").collect()}

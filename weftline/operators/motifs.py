@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.tokens import ngrams
+from weftline.functions.tokens import bound, ngrams
 from weftline.operators.information import entropy
+from weftline.session import cut
 
 #: Opcodes that branch.
 BRANCHES = "je jne jl jle jg jge jb jbe ja jae js jns jo jno jp jnp jmp".split()
@@ -32,6 +33,27 @@ def frequent_motifs(counts: DataFrame, total: DataFrame, least: int = 5, share:
     return rows.filter(keep).select("k", "motif", "units", "occurrences", (F.col("units") / F.col("n")).alias("coverage"))
 
 
+def frequent_by_length(units: DataFrame, lengths: range, total: DataFrame) -> DataFrame:
+    """frequent_motifs of consecutive ``lengths``, shortest first. A motif is in no
+    more units and occurs no more often than its first k - 1 tokens, so only the
+    motifs whose beginning is frequent are counted; none is lost."""
+    found = level = cut(frequent_motifs(motif_counts(units, [lengths[0]]), total))
+    for k in lengths[1:]:
+
+        def of(t: Column) -> Column:
+            part = lambda i, n: F.array_join(F.slice(t, i, F.lit(n)), " ")
+            places = F.sequence(F.lit(1), F.greatest(F.size(t) - F.lit(k - 1), F.lit(1)))
+            return F.transform(places, lambda i: F.struct(part(i, k).alias("motif"), part(i, k - 1).alias("start")))
+
+        rows = units.filter(F.size("ops") >= k).select("unit", F.explode(bound(F.col("ops"), of)).alias("g")).select("unit", "g.motif", "g.start")
+        rows = rows.join(level.select(F.col("motif").alias("start")), "start", "left_semi")
+        each = rows.groupBy("unit", "motif").agg(F.count(F.lit(1)).alias("c"))
+        counts = each.groupBy(F.lit(k).cast("bigint").alias("k"), "motif").agg(F.count(F.lit(1)).alias("units"), F.sum("c").alias("occurrences"))
+        level = cut(frequent_motifs(counts, total))
+        found = found.unionByName(level)
+    return found
+
+
 def top_motifs(motifs: DataFrame, most: int) -> DataFrame:
     score = F.col("units") * F.col("coverage")
     w = Window.partitionBy("k").orderBy(F.desc(score), "motif")

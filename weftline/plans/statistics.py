@@ -294,6 +294,28 @@ def _(spark, folder):
     return mo.top_motifs(_motifs(spark, folder), 5).orderBy(F.desc("score"), "k", "motif").limit(10).select("k", "motif", "units")
 
 
+# The same over all lengths of the survey, tested against counts by hand
+
+def _all_motifs(spark, folder) -> DataFrame:
+    f = cut(functions(spark, folder).select(F.col("function_id").alias("unit"), "ops"))
+    return mo.frequent_by_length(f, range(4, 13), f.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("motifs_k_all")
+def _(spark, folder):
+    return _all_motifs(spark, folder).select("k", "motif", "units", "occurrences", F.round("coverage", 9).alias("coverage"))
+
+
+@query("motif_topk_all")
+def _(spark, folder):
+    return mo.top_motifs(_all_motifs(spark, folder), 100).select("k", "motif", "rank", r6("score").alias("score"))
+
+
+@query("motif_summary_all")
+def _(spark, folder):
+    return mo.top_motifs(_all_motifs(spark, folder), 5).orderBy(F.desc("score"), "k", "motif").limit(10).select("k", "motif", "units")
+
+
 @query("annotate_motif", """WITH m AS (SELECT DISTINCT lower(trim(motif)) AS motif, string_split(lower(trim(motif)), ' ') AS m FROM (SELECT regexp_replace(trim(motif), '\\s+', ' ', 'g') AS motif FROM motifs_k10 WHERE motif IS NOT NULL)),
 b AS (SELECT ['je','jne','jl','jle','jg','jge','jb','jbe','ja','jae','js','jns','jo','jno','jp','jnp','jmp'] AS b)
 SELECT motif, CASE WHEN m[1] = 'push' AND m[2] = 'mov' THEN 'prologue: frame' WHEN m[1] = 'push' THEN 'prologue: save' WHEN list_contains(m, 'leave') AND list_contains(m, 'ret') THEN 'epilogue: leave'
