@@ -30,14 +30,16 @@ def local_session(cpus: int | str = "*", app: str = "weftline", **conf: str) ->
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests, notebooks on one machine) a
-    temporary folder is made."""
+    session. Only where that is unset and the master is local (tests, notebooks
+    on one machine) a temporary folder is made; a cluster must name one."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"weftline-{os.getuid()}")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -48,3 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
     that iterations keep short lineages and survive lost executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def grows(df: DataFrame) -> DataFrame:
+    """Marks a side of a join as one that grows with the data: the join then
+    shuffles both sides. The planner's guess of such a side's size can be off by
+    as much as a kernel multiplies rows, and would have it broadcast unchecked."""
+    return df.hint("merge")
