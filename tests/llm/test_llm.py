@@ -146,6 +146,30 @@ def test_similar_pairs(spark):
     assert [tuple(r) for r in setjoin.similar_pairs(setjoin.hashed_sets(tags, "k", "v"), 0.9).collect()] == [(1, 2, 1.0)]
 
 
+def test_no_side_that_grows_is_broadcast(spark):
+    """Kernels multiply rows beyond what the planner guesses; with a threshold that takes any guess nothing may be broadcast."""
+    rows = corpus() + [(9000 + i, ["h"] * (40 + i)) for i in range(80)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        data = table(spark, rows)
+        groups, pairs = setjoin.similar_sequences(data, "function_id", "ops", 4, 0.6, 40)
+        frames = [groups, pairs, classes.expand(pairs.toDF("rep1", "rep2", "jaccard"), groups, ["jaccard"]), setjoin.similar_classes(groups, pairs)]
+        frames += [spans.shared_spans(data, "function_id", "ops", 32, 4), edits.near_copy_groups(data, "function_id", "ops"), linking.connected_groups(groups, "id", "rep")]
+        for frame in frames:
+            assert "BroadcastExchange" not in frame._jdf.queryExecution().executedPlan().toString()
+            frame.collect()
+            assert "BroadcastExchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_similar_classes(spark):
+    base = [f"o{i}" for i in range(50)]
+    rows = [(3, base), (1, base), (2, base[:-2] + ["x", "y"]), (4, ["z"] * 50), (5, base[:9]), (None, base), (6, None)]
+    got = setjoin.similar_classes(*setjoin.similar_sequences(table(spark, rows), "function_id", "ops", 4, 0.6, 40))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 4, 0)]
+
+
 def test_copies_expand(spark):
     df = table(spark, [(3, ["a"]), (1, ["a"]), (2, ["b"]), (None, ["a"])])
     groups = classes.copy_classes(df, "function_id", "ops")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions.arrowkit import flat, global_codes, grams, lists, mix, row_ids
 from weftline.llm.classes import copy_classes, representatives
 from weftline.llm.linking import connected_groups
-from weftline.session import cut
+from weftline.session import cut, grows
 
 #: Cells of the sketch that orders grams by rarity: a fixed 2 MB, however much is counted.
 CELLS = 1 << 18
@@ -174,10 +174,10 @@ def edit_pairs(codes: DataFrame, least: int = 40, percent: int = 15, q: int = 5)
     most = F.floor(F.greatest("n1", "n2") * percent / 100)
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in WORDS])
     cond = (F.col("id1") < F.col("id2")) & (F.abs(F.col("n1") - F.col("n2")) <= most) & (F.abs(F.col("pos1") - F.col("pos2")) <= most) & (differ <= 2 * most)
-    candidates = x.join(y, "gram").filter(cond).groupBy("id1", "id2").count().filter(F.col("count") >= SHARED)
+    candidates = x.join(grows(y), "gram").filter(cond).groupBy("id1", "id2").count().filter(F.col("count") >= SHARED)
     a = codes.select(F.col("rep").alias("id1"), F.col("codes").alias("c1"))
     b = codes.select(F.col("rep").alias("id2"), F.col("codes").alias("c2"))
-    return candidates.join(a, "id1").join(b, "id2").select("id1", "id2", "c1", "c2").mapInArrow(_verify(percent), "id1 bigint, id2 bigint, distance int")
+    return candidates.join(grows(a), "id1").join(grows(b), "id2").select("id1", "id2", "c1", "c2").mapInArrow(_verify(percent), "id1 bigint, id2 bigint, distance int")
 
 
 def near_copy_groups(records: DataFrame, key: str, seq: str, least: int = 40, percent: int = 15, q: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, grows
 
 
 def _scatter(x: Column) -> Column:
@@ -66,21 +66,21 @@ def connected_groups(links: DataFrame, left: str = "a", right: str = "b") -> Dat
     # monotonically_increasing_id is only stable once written
     vertex = cut(names.select("id", _scatter(F.monotonically_increasing_id() + 1).alias("vid")))
     va, vb = vertex.select(F.col("id").alias("a"), F.col("vid").alias("va")), vertex.select(F.col("id").alias("b"), F.col("vid").alias("vb"))
-    edges = cut(_both_ways(named.filter("a <> b").join(va, "a").join(vb, "b"), "va", "vb"))
+    edges = cut(_both_ways(named.filter("a <> b").join(grows(va), "a").join(grows(vb), "b"), "va", "vb"))
     forest: list[DataFrame] = []
     while not edges.isEmpty():
         least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        pointed = edges.join(least, "u").select(F.col("v").alias("u"), "m").union(least)
+        pointed = edges.join(grows(least), "u").select(F.col("v").alias("u"), "m").union(least)
         pointed = cut(pointed.distinct())
         parent = pointed.groupBy("u").agg(F.min("m").alias("p"), F.max((F.col("m") == F.col("u"))).alias("own"))
         forest.append(parent.filter(~F.col("own")).select(F.col("u").alias("vid"), F.col("p").alias("up")))
-        edges = cut(_both_ways(pointed.join(parent.select("u", "p"), "u").select("p", "m"), "p", "m"))
+        edges = cut(_both_ways(pointed.join(grows(parent.select("u", "p")), "u").select("p", "m"), "p", "m"))
     pruned = reduce(DataFrame.union, [f.select("vid") for f in forest]) if forest else vertex.select("vid").limit(0)
-    labels = vertex.select("vid").join(pruned, "vid", "left_anti").select("vid", F.col("vid").alias("seed"))
+    labels = vertex.select("vid").join(grows(pruned), "vid", "left_anti").select("vid", F.col("vid").alias("seed"))
     for level in reversed(forest):
         # the vertices still active when this level was pruned: a geometric series in all
-        below = level.join(labels.select(F.col("vid").alias("up"), "seed"), "up").select("vid", "seed")
+        below = level.join(grows(labels.select(F.col("vid").alias("up"), "seed")), "up").select("vid", "seed")
         labels = cut(labels.union(below))
-    named = vertex.join(labels, "vid").select("id", "seed")
+    named = vertex.join(grows(labels), "vid").select("id", "seed")
     smallest = named.groupBy("seed").agg(F.min("id").alias("group_id"))
-    return named.join(smallest, "seed").select("id", "group_id")
+    return named.join(grows(smallest), "seed").select("id", "group_id")

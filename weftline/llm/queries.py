@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.tokens import normalize_token
 from weftline.llm import classes, edits, leaks, linking, mixing, pages, patterns, runs, setjoin, spans, terms
-from weftline.session import cut
+from weftline.session import cut, grows
 from weftline.sources.tables import opcode_sequences, table
 
 
@@ -48,10 +48,7 @@ def p2_support(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    seqs = _sequences(spark, folder).filter(F.size("ops") >= 40)
-    groups = cut(classes.copy_classes(seqs, "function_id", "ops", 40))
-    sets = cut(setjoin.shingle_sets(classes.representatives(seqs, "function_id", "ops", groups), "rep", "seq", 4))
-    return groups, setjoin.similar_pairs(sets, 0.6)
+    return setjoin.similar_sequences(_sequences(spark, folder), "function_id", "ops", 4, 0.6, 40)
 
 
 def _similar_functions(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +56,7 @@ def _similar_functions(spark: SparkSession, folder: str) -> DataFrame:
     pairs = pairs.select(F.col("id1").alias("rep1"), F.col("id2").alias("rep2"), "jaccard")
     # the test data ask for the pairs of functions, so copies are paired with each other too
     other = groups.select("rep", F.col("id").alias("id2"))
-    alike = groups.join(other, "rep").filter("id < id2").select(F.col("id").alias("id1"), "id2", F.lit(1.0).alias("jaccard"))
+    alike = groups.join(grows(other), "rep").filter("id < id2").select(F.col("id").alias("id1"), "id2", F.lit(1.0).alias("jaccard"))
     return classes.expand(pairs, groups, ["jaccard"]).unionByName(alike)
 
 
@@ -71,6 +68,12 @@ def p3_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return _similar_functions(spark, folder).select(F.col("id1").alias("function_id1"), F.col("id2").alias("function_id2"), F.round("jaccard", 9).alias("jaccard"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every function with its class of copies and the number of similar classes."""
+    out = setjoin.similar_classes(*_similar(spark, folder))
+    return out.select(F.col("id").alias("function_id"), "rep", "links")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(_sequences(spark, folder), "function_id", "ops", 32).select(F.col("id").alias("function_id"), "start_pos", "end_pos")
 
@@ -152,5 +155,5 @@ def p10_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p2_support, p3_found, p3_similarity, p4_found, p4_cover, p5_found, p5_frequency, p6_found, p7_found, p7_runs, p7_near_runs, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_shapes]
+    own = [p1_found, p2_found, p2_support, p3_found, p3_similarity, p3_classes, p4_found, p4_cover, p5_found, p5_frequency, p6_found, p7_found, p7_runs, p7_near_runs, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_shapes]
     return {f.__name__: f for f in own}

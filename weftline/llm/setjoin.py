@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrowkit import flat, global_codes, grams, mix, row_ids
+from weftline.llm.classes import copy_classes, representatives
+from weftline.session import cut, grows
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -110,10 +112,28 @@ def similar_pairs(sets: DataFrame, threshold: float, other: DataFrame | None = N
     right = keyed2.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"))
     sizes = (F.col("n1") >= F.lit(threshold) * F.col("n2")) & (F.col("n2") >= F.lit(threshold) * F.col("n1"))
     cond = sizes & (F.col("id1") < F.col("id2")) if other is None else sizes
-    candidates = left.join(right, "key").filter(cond).select("id1", "id2").distinct()
+    candidates = left.join(grows(right), "key").filter(cond).select("id1", "id2").distinct()
     a = sets.select(F.col("id").alias("id1"), F.col("items").alias("s1"))
     b = second.select(F.col("id").alias("id2"), F.col("items").alias("s2"))
-    both = candidates.join(a, "id1").join(b, "id2")
+    both = candidates.join(grows(a), "id1").join(grows(b), "id2")
     shared = F.size(F.array_intersect("s1", "s2"))
     scored = both.select("id1", "id2", shared.alias("c"), (F.size("s1") + F.size("s2")).alias("t"))
     return scored.select("id1", "id2", (F.col("c") / (F.col("t") - F.col("c"))).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def similar_sequences(records: DataFrame, key: str, seq: str, k: int, threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) and (id1, id2, jaccard): the classes of identical sequences of
+    at least ``least`` tokens, and the similar pairs of their representatives.
+    Together they hold every similar pair of records; copies are never paired
+    with each other or compared twice."""
+    rows = records.filter(F.size(seq) >= least)
+    classes = cut(copy_classes(rows, key, seq, least))
+    sets = cut(shingle_sets(representatives(rows, key, seq, classes), "rep", "seq", k))
+    return classes, similar_pairs(sets, threshold)
+
+
+def similar_classes(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, rep, links): every record with its class and the number of other
+    classes that are similar to it: one row a record, however many copies."""
+    ends = pairs.select(F.explode(F.array("id1", "id2")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return classes.join(grows(ends), "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))

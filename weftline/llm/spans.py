@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.arrowkit import flat, global_codes, grams, lists, row_ids
 from weftline.llm.classes import copy_classes, representatives
-from weftline.session import cut
+from weftline.session import cut, grows
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +122,19 @@ def shared_spans(records: DataFrame, key: str, seq: str, least: int = 32, postin
     index = probes.filter(F.col("pos") % block == 0).select("key", F.col("rep").alias("f"), F.col("pos").alias("p"))
     hot = cut(index.groupBy("key").count().filter(F.col("count") > postings).select("key"))
     some_hot = not hot.isEmpty()
-    cold = index.join(hot, "key", "left_anti") if some_hot else index
-    hits = probes.join(cold, "key").filter("rep <> f").select("f", F.col("rep").alias("g"), (F.col("pos") - F.col("p")).alias("d")).distinct()
+    cold = index.join(grows(hot), "key", "left_anti") if some_hot else index
+    hits = probes.join(grows(cold), "key").filter("rep <> f").select("f", F.col("rep").alias("g"), (F.col("pos") - F.col("p")).alias("d")).distinct()
     seqs = codes.select(F.col("rep").alias("f"), F.col("codes").alias("cf")), codes.select(F.col("rep").alias("g"), F.col("codes").alias("cg"))
-    paired = hits.join(seqs[0], "f").join(seqs[1], "g").select("g", "d", "cf", "cg")
+    paired = hits.join(grows(seqs[0]), "f").join(grows(seqs[1]), "g").select("g", "d", "cf", "cg")
     spans = paired.mapInArrow(_extend(least), "rep bigint, a int, b int").distinct()
     if some_hot:
-        at = probes.join(hot, "key", "left_semi").groupBy("rep").agg(F.collect_list("pos").alias("at"))
-        wide = at.join(codes, "rep").select("rep", "at", "codes").mapInArrow(_refine(block, least), "key bigint, rep bigint, a int")
+        at = probes.join(grows(hot), "key", "left_semi").groupBy("rep").agg(F.collect_list("pos").alias("at"))
+        wide = at.join(grows(codes), "rep").select("rep", "at", "codes").mapInArrow(_refine(block, least), "key bigint, rep bigint, a int")
         wide = cut(wide)
         twice = wide.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("key")
-        spans = spans.unionByName(wide.join(twice, "key", "left_semi").select("rep", "a", (F.col("a") + least - 1).cast("int").alias("b")))
-    own = merge_intervals(spans.join(copied, "rep", "left_anti"), "rep").withColumnRenamed("rep", "id")
-    whole = classes.join(copied, "rep", "left_semi").select("id").join(rows, "id")
+        spans = spans.unionByName(wide.join(grows(twice), "key", "left_semi").select("rep", "a", (F.col("a") + least - 1).cast("int").alias("b")))
+    own = merge_intervals(spans.join(grows(copied), "rep", "left_anti"), "rep").withColumnRenamed("rep", "id")
+    whole = classes.join(grows(copied), "rep", "left_semi").select("id").join(grows(rows), "id")
     return own.unionByName(whole.select("id", F.lit(0).alias("start_pos"), (F.size("seq") - 1).alias("end_pos")))
 
 
@@ -143,5 +143,5 @@ def shared_cover(records: DataFrame, key: str, seq: str, spans: DataFrame) -> Da
     cover; every record comes out, one without tokens with a null share."""
     sums = spans.groupBy("id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("covered"))
     rows = records.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.size(seq), F.lit(0)).alias("n")).filter("id is not null")
-    out = rows.join(sums, "id", "left").fillna(0, ["spans", "covered"])
+    out = rows.join(grows(sums), "id", "left").fillna(0, ["spans", "covered"])
     return out.select("id", "spans", "covered", F.when(F.col("n") > 0, F.col("covered") / F.col("n")).alias("share"))

@@ -76,6 +76,12 @@ SELECT func_id, min(other) AS group_id FROM r GROUP BY func_id""",
         "p2_support": PATTERNS.format(more=", function_count, round(function_count / n, 9) AS function_coverage"),
         "p3_found": SIMILAR.format(more=""),
         "p3_similarity": SIMILAR.format(more=", round(c / (p.n + q.n - c), 9) AS jaccard"),
+        "p3_classes": f"""
+WITH pairs AS ({SIMILAR.format(more="")}), {SEQ[1:]},
+cl AS (SELECT function_id, min(function_id) OVER (PARTITION BY ops) AS rep FROM f WHERE len(ops) >= 40),
+li AS (SELECT x, count(*) AS links FROM (SELECT function_id1 AS x, function_id2 AS y FROM pairs UNION ALL SELECT function_id2, function_id1 FROM pairs) e
+  JOIN cl a ON a.function_id = x AND a.rep = x JOIN cl b ON b.function_id = y AND b.rep = y GROUP BY x)
+SELECT function_id, rep, coalesce(links, 0) AS links FROM cl LEFT JOIN li ON x = rep""",
         "p4_found": f"{SPANS} SELECT * FROM spans",
         "p4_cover": f"""{SPANS}
 SELECT f.function_id, count(start_pos) AS spans, CAST(coalesce(sum(end_pos - start_pos + 1), 0) AS BIGINT) AS covered,
