@@ -322,6 +322,41 @@ def test_near_runs_against_the_queue(spark):
     assert got == sorted(want)
 
 
+def repeatedly_merged(runs_of, least, max_gap):
+    """The most similar neighbours first, found anew each time; independent of queue and parting."""
+    own = list(runs_of)
+    while True:
+        best = None
+        for i, (x, y) in enumerate(zip(own, own[1:])):
+            if (max_gap is None or y[2] - x[3] <= max_gap) and runs.likeness(x[0], y[0]) >= least:
+                key = (-runs.likeness(x[0], y[0]), x[2])
+                best = min(best, (key, i)) if best else (key, i)
+        if not best:
+            return own
+        i = best[1]
+        x, y = own[i], own[i + 1]
+        own[i : i + 2] = [(min((-x[1], x[0]), (-y[1], y[0]))[1], x[1] + y[1], x[2], y[3])]
+
+
+@pytest.mark.parametrize("similarity,kinds", [(0.6, 1000), (0.6, 3), (1.0, 1000)])
+def test_runs_cut_by_borders_against_repeated_search(spark, monkeypatch, similarity, kinds):
+    monkeypatch.setattr(runs, "KINDS", kinds)
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(3):
+        at = np.cumsum(rng.choice([1, 4, 100], 250, p=[0.7, 0.27, 0.03])).tolist()
+        rows += [(f, a, str(rng.choice(["mov", "movs", "movsd", "movss", "call", "callq", "cmp"])), f * 4000 + i) for i, a in enumerate(at)]
+    rows += [(7, i, "call" if i % 50 else "callq", 90_000 + i) for i in range(400)] + rows[:40]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, runs.collapse_runs(events(spark, rows), "f", "at", "op", "row", similarity=similarity, max_gap=64).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    clean = sorted(set(rows), key=lambda r: (r[0], r[1], r[3]))
+    want = [(f, *run) for f in (0, 1, 2, 7) for run in repeatedly_merged([(op, 1, at, at) for g, at, op, _ in clean if g == f], similarity, 64)]
+    assert got == sorted(want)
+
+
 # 8
 
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import cut
 
-RUNS = "entity bigint, part int, nr bigint, event string, n bigint, first bigint, last bigint, edge boolean"
+RUNS = "entity bigint, part int, seg int, nr bigint, event string, n bigint, first bigint, last bigint"
+#: Most different events of which the driver compares every pair to tell those apart that no chain of likeness joins.
+KINDS = 1000
 
 
 def likeness(a: str, b: str) -> float:
@@ -66,72 +68,123 @@ def agglomerate(runs: list[tuple[str, int, int, int]], least: float, max_gap: in
     return [(event[i], n[i], first[i], last[i]) for i in range(size) if alive[i]]
 
 
-def _collapse(max_gap: int | None, least: float, span: int | None):
-    """Sorted rows (entity, at, row, event) -> runs. Equal neighbours are the
-    most similar of all pairs, so they merge first: that is done for a whole
-    batch at once; the queue merges what is left."""
+def chains(events: list[str], least: float) -> dict[str, str]:
+    """The smallest event of all that a chain of pairs with likeness of at least
+    ``least`` joins. The event of a merged run is always one of its parts', so
+    neighbours of different chains never merge, whatever merges first."""
+    top = {e: e for e in events}
+
+    def find(e: str) -> str:
+        while top[e] != e:
+            top[e] = top[top[e]]
+            e = top[e]
+        return e
+
+    for i, a in enumerate(events):
+        for b in events[:i]:
+            if likeness(a, b) >= least:
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {e: find(e) for e in events}
+
+
+def _events(batch: pa.RecordBatch) -> tuple:
+    """Sorted rows (entity, at, row, event) as runs of one event. A redelivered
+    row repeats its id and so sorts next to itself."""
+    entity, at, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    events = batch.column(3).dictionary_encode()
+    none = np.zeros(len(at), np.int32)
+    return entity, events.indices.to_numpy(zero_copy_only=False), events.dictionary.to_pylist(), np.ones(len(at), np.int64), at, at, none, none, row
+
+
+def _cut_runs(batch: pa.RecordBatch) -> tuple:
+    """Sorted rows of RUNS; none repeats another."""
+    entity, part, seg, nr = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    n, first, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+    events = batch.column(4).dictionary_encode()
+    return entity, events.indices.to_numpy(zero_copy_only=False), events.dictionary.to_pylist(), n, first, last, part, seg, nr
+
+
+def _merge(read: Callable, least: float, max_gap: int | None, span: int | None, chain: dict[str, str] | None, edges: bool):
+    """Sorted rows -> runs. Rows are parted wherever entity, gap, span or chain
+    forbids a merge for good, and every stretch between goes through
+    ``agglomerate``. With ``edges`` the first and the last stretch of a
+    partition, which a border may have cut, come out with their equal
+    neighbours merged only (these merge first anyway) and a ``seg``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held: list[tuple] = []  # runs of the entity (or its block) that may still grow
-        owner, nr, fresh = None, 0, True
-
-        def emit(runs: list[tuple], key, closing: bool) -> list[tuple]:
-            nonlocal nr, fresh
-            if least < 1:
-                runs = agglomerate(runs, least, max_gap)
-            out = []
-            for k, (e, n, a, b) in enumerate(runs):
-                out.append((key[0], part, nr, e, n, a, b, fresh or (closing and k == len(runs) - 1)))
-                nr, fresh = nr + 1, False
-            return out
+        part, numbers = TaskContext.get().partitionId(), {}
+        held: list[tuple] = []  # runs of the stretch that may still grow
+        owner, number, first_stretch, nr = None, 0, True, 0
+        out: list[tuple] = []
+
+        def number_of(event: str) -> int:
+            key = event if least >= 1 else chain[event] if chain is not None else ""
+            return numbers.setdefault(key, len(numbers))
+
+        def close(at_end: bool) -> None:
+            nonlocal held, first_stretch, number, nr
+            if held:
+                edge = edges and (first_stretch or at_end)
+                runs = held if len(held) == 1 else agglomerate(held, 1.0 if edge else least, max_gap)
+                seg = number if edge else None
+                for r in runs:
+                    out.append((owner[0], part, seg, nr, *r))
+                    nr += 1
+                first_stretch, number = False, number + 1
+            held = []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            names = [c.split()[0] for c in RUNS.split(", ")]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in RUNS.split(", ")])
 
-        row_before = None
+        before = None  # entity, class, last, span block, part, seg and row id of the row before
         for batch in batches:
-            entity, at, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            events = batch.column(3).dictionary_encode()
-            code, texts = events.indices.to_numpy(zero_copy_only=False), events.dictionary.to_pylist()
-            if not len(entity):
-                continue
-            # a redelivered row repeats its id and so sorts next to itself
-            fresh_row = np.concatenate([[row_before != (entity[0], row[0])], (entity[1:] != entity[:-1]) | (row[1:] != row[:-1])])
-            row_before = (entity[-1], row[-1])
-            entity, at, code = entity[fresh_row], at[fresh_row], code[fresh_row]
+            entity, index, texts, n, first, last, piece, seg, row = read(batch)
             if not len(entity):
                 continue
-            block = at // span if span else np.zeros(len(at), np.int64)
-            new = (entity[1:] != entity[:-1]) | (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+            if edges:
+                again = np.concatenate([[before is not None and before[0] == entity[0] and before[6] == row[0]], (entity[1:] == entity[:-1]) & (row[1:] == row[:-1])])
+                keep = ~again
+                entity, index, n, first, last, piece, seg, row = (c[keep] for c in (entity, index, n, first, last, piece, seg, row))
+                if not len(entity):
+                    continue
+            label = np.array([number_of(t) for t in texts])[index]
+            block = first // span if span else np.zeros(len(first), np.int64)
+            join = lambda c, x: np.concatenate([[x], c])
+            columns = (entity, label, last, block, piece, seg)
+            e, c, l, k, p, s = (join(col, x) for col, x in zip(columns, before[:6] if before else (entity[0], label[0], last[0], block[0], piece[0], seg[0])))
+            new = (e[1:] != e[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1]) | ((p[1:] == p[:-1]) & (s[1:] != s[:-1]))
             if max_gap is not None:
-                new |= at[1:] - at[:-1] > max_gap
-            heads = np.flatnonzero(np.concatenate([[True], new]))
-            tails = np.append(heads[1:], len(entity)) - 1
-            done: list[tuple] = []
-            rows = zip(entity[heads].tolist(), block[heads].tolist(), code[heads].tolist(), (tails - heads + 1).tolist(), at[heads].tolist(), at[tails].tolist())
-            for who, blk, c, n, a, b in rows:
-                e = texts[c]
-                if owner != (who, blk):
-                    if owner is not None:
-                        done += emit(held, owner, True)
-                        if owner[0] != who:
-                            fresh = True
-                    owner, held = (who, blk), []
-                if held and held[-1][0] == e and (max_gap is None or a - held[-1][3] <= max_gap):
-                    held[-1] = (e, held[-1][1] + n, held[-1][2], b)
-                else:
-                    # it can't grow any more; below 1 only a gap keeps neighbours apart whatever merges first
-                    if held and (least >= 1 or (max_gap is not None and a - held[-1][3] > max_gap)):
-                        done += emit(held, owner, False)
-                        held = []
-                    held.append((e, n, a, b))
-            if done:
-                yield batch_of(done)
-        if owner is not None:
-            yield batch_of(emit(held, owner, True))
+                new |= first - l[:-1] > max_gap
+            before = tuple(col[-1] for col in (*columns, row))
+            heads = np.flatnonzero(new)
+            bounds = np.concatenate([[0], heads[heads > 0], [len(entity)]])
+            alone = np.diff(bounds) == 1
+            # stretches of one row inside the batch are runs as they are
+            alone[[0, -1]] = False
+            if alone.any():
+                at = bounds[:-1][alone]
+                m = len(at)
+                yield pa.record_batch(
+                    [pa.array(entity[at], pa.int64()), pa.array(np.full(m, part), pa.int32()), pa.nulls(m, pa.int32()), pa.array(np.zeros(m, np.int64)), pa.array(texts, pa.string()).take(pa.array(index[at])), pa.array(n[at]), pa.array(first[at]), pa.array(last[at])],
+                    names=[c.split()[0] for c in RUNS.split(", ")],
+                )
+            if new[0]:
+                close(False)
+            for a, b in zip(bounds[:-1][~alone].tolist(), bounds[1:][~alone].tolist()):
+                if a:
+                    close(False)
+                owner = (int(entity[a]),)
+                held += [(texts[i], *r) for i, r in zip(index[a:b].tolist(), zip(n[a:b].tolist(), first[a:b].tolist(), last[a:b].tolist()))]
+            if len(held) > 1000:
+                held = agglomerate(held, 1.0, max_gap)
+            if out:
+                yield batch_of(out)
+                out.clear()
+        close(True)
+        if out:
+            yield batch_of(out)
 
     return run
 
@@ -141,43 +194,34 @@ def collapse_runs(events: DataFrame, entity: str, at: str, event: str, row: str,
     entity in order of ``at`` (then ``row``) with its number of events and the
     places it extends over; its duration is ``last - first``.
 
-    ``similarity`` 1 merges equal events only; below 1 near-identical ones too
-    (Dice similarity of character pairs), and then ``max_gap`` or ``span`` must
-    be set, which bounds what one merge sees: neighbours further apart than
-    ``max_gap`` stay apart, which loses no merge, and where ``span`` is set a run
-    does not extend over a multiple of it. Rows with a null
-    entity, place or event are left out before anything is computed; rows that
-    repeat a ``row`` id at the same place count once. Empty input gives no rows.
+    Adjacent agglomeration: every event starts as a run of one; the most
+    similar neighbours merge first until none reaches ``similarity`` (Dice
+    similarity of character pairs; 1 merges equal events only) within
+    ``max_gap``. Below 1 ``max_gap`` or ``span`` must be set; where ``span`` is
+    set a run does not extend over a multiple of it. Rows with a null entity,
+    place or event are left out before anything is computed; rows that repeat a
+    ``row`` id at the same place count once. Empty input gives no rows.
 
     Rows are range-partitioned by entity *and* place, so an entity with a third
-    of all rows is spread over many tasks. Runs at the ends of a partition are
-    joined again afterwards; they are at most two rows a partition and entity.
-    Below similarity 1 without ``span`` an entity's rows pass through one task,
-    which holds the runs since the last gap.
+    of all rows is spread over many tasks. A task parts its rows wherever a
+    merge is ruled out for good (entity, gap, span, or events that no chain of
+    likeness joins) and queues each stretch on its own, which gives the same
+    runs as one queue. Stretches that touch the border of a partition, at most
+    two of each, are merged again over all partitions; at similarity 1 they are
+    one run each, below 1 as many as they have changes of event. Chains of
+    likeness are told apart for at most KINDS different events; beyond that
+    only entity, gap and span part rows.
     """
     if similarity < 1 and not span and max_gap is None:
         raise ValueError("similarity below 1 needs max_gap or span, which bound the merging")
     rows = events.select(F.col(entity).cast("bigint").alias("entity"), F.col(at).cast("bigint").alias("at"), F.col(row).cast("bigint").alias("row"), F.col(event).alias("event"))
     rows = rows.dropna(subset=["entity", "at", "event"])
-    whole = similarity < 1 and not span  # like neighbours merge in an order that no border may disturb
-    place = [F.floor(F.col("at") / span).alias("block")] if span else [F.col("at")]
-    rows = (rows.repartition("entity") if whole else rows.repartitionByRange("entity", *place)).sortWithinPartitions("entity", "at", "row", "event")
-    runs = rows.mapInArrow(_collapse(max_gap, similarity, span), RUNS)
-    if span or whole:  # partitions end where blocks or entities end
-        return runs.select("entity", "event", "n", "first", "last")
-    return _stitch(runs, max_gap)
-
-
-def _stitch(runs: DataFrame, max_gap: int | None) -> DataFrame:
-    """Join the runs that a partition border has cut. Only runs at the edge of
-    an entity's share of a partition can be cut."""
-    runs = cut(runs)
-    inner = runs.filter("not edge").select("entity", "event", "n", "first", "last")
-    w = Window.partitionBy("entity").orderBy("part", "nr")
-    edge = runs.filter("edge")
-    near = F.col("first") - F.lag("last").over(w) <= max_gap if max_gap is not None else F.lit(True)
-    # two edges of one partition are the ends of a stretch, with other runs between them unless they follow each other
-    follows = (F.lag("event").over(w) == F.col("event")) & (F.lag("part").over(w) != F.col("part")) & near
-    edge = edge.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = edge.groupBy("entity", "run").agg(F.first("event").alias("event"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return inner.unionByName(joined.drop("run"))
+    chain = None
+    if similarity < 1:
+        kinds = [r[0] for r in rows.select("event").distinct().limit(KINDS + 1).collect()]
+        chain = chains(sorted(kinds), similarity) if len(kinds) <= KINDS else None
+    rows = rows.repartitionByRange("entity", "at").sortWithinPartitions("entity", "at", "row", "event")
+    runs = cut(rows.mapInArrow(_merge(_events, similarity, max_gap, span, chain, True), RUNS))
+    edge = runs.filter("seg is not null").repartition("entity").sortWithinPartitions("entity", "part", "seg", "nr")
+    edge = edge.mapInArrow(_merge(_cut_runs, similarity, max_gap, span, chain, False), RUNS)
+    return runs.filter("seg is null").union(edge).select("entity", "event", "n", "first", "last")
