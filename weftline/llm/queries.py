@@ -126,6 +126,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of the question and of the answer of a leaked item a document shares."""
+    return leaks.leak_overlap(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """Leaked test items with the number of documents that hold them."""
     return p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
@@ -155,5 +160,5 @@ def p10_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p2_support, p3_found, p3_similarity, p3_classes, p4_found, p4_cover, p5_found, p5_frequency, p6_found, p7_found, p7_runs, p7_near_runs, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_shapes]
+    own = [p1_found, p2_found, p2_support, p3_found, p3_similarity, p3_classes, p4_found, p4_cover, p5_found, p5_frequency, p6_found, p7_found, p7_runs, p7_near_runs, p8_found, p8_overlap, p8_items, p9_mix, p9_shares, p10_found, p10_shapes]
     return {f.__name__: f for f in own}

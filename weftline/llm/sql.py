@@ -92,5 +92,13 @@ FROM f LEFT JOIN spans ON f.function_id = spans.function_id GROUP BY f.function_
         "p7_found": f"{RUNS} SELECT function_id, start_address, end_address FROM r WHERE instructions >= 4",
         "p7_runs": f"{RUNS} SELECT * FROM r",
         "p8_found": f"{LEAKS} SELECT * FROM hit",
+        "p8_overlap": rf"""{LEAKS},
+ea AS (SELECT item_id, len(w) AS n, len(regexp_extract_all(lower(list_extract(string_split_regex(trim(text), '[.?!]\s+'), -1)), '[\p{{L}}\p{{N}}]+')) AS a FROM e JOIN eval_items USING (item_id)),
+eq AS (SELECT item_id, n, CASE WHEN a < n THEN n - a ELSE n END AS q FROM ea),
+ep AS (SELECT item_id, unnest(range(len(w) - 11)) AS p, unnest(list_transform(range(len(w) - 11), lambda i: array_to_string(w[i + 1 : i + 12], ' '))) AS g FROM e WHERE len(w) >= 12),
+cov AS (SELECT DISTINCT doc_id, item_id, unnest(range(p, p + 12)) AS word FROM dg JOIN ep USING (g))
+SELECT doc_id, item_id, CAST(any_value(q) AS INTEGER) AS question_words, CAST(count(*) FILTER (word < q) AS INTEGER) AS question_shared,
+  CAST(any_value(n - q) AS INTEGER) AS answer_words, CAST(count(*) FILTER (word >= q) AS INTEGER) AS answer_shared
+FROM cov JOIN eq USING (item_id) GROUP BY doc_id, item_id""",
         "p8_items": f"{LEAKS} SELECT item_id, count(*) AS documents FROM hit GROUP BY item_id",
     }
