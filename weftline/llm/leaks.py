@@ -18,7 +18,9 @@ from weftline.session import cut, grows
 K1, B = 1.2, 0.75
 #: Items in a block of a posting list, and words of items in one part of the index (some 5 MB).
 BLOCK, PART_WORDS = 8, 100_000
-#: Scores are sums of at most 2 * span products of 32 bits.
+#: Words between the beginnings of two passages: short passages score little above a span, so fewer items reach the threshold.
+STRIDE = 6
+#: Scores are sums of at most some 30 products of 32 bits.
 ENOUGH = 1 - 1e-4
 
 
@@ -61,11 +63,11 @@ class ItemIndex:
         number = {c: k for k, c in enumerate(order)}
         held = sorted((number[c] * self.blocks + b, lanes) for (c, b), lanes in entries.items()) if entries else []
         self.entry = np.array([k for k, _ in held], np.int64)  # term * blocks + block
-        self.lanes = np.array([x for _, x in held] + [np.zeros(BLOCK, np.float32)])  # the last row is of absent entries
+        self.lanes = np.array([x for _, x in held], np.float32).reshape(-1, BLOCK)
         self.most = self.lanes.max(axis=1)
         self.first = np.searchsorted(self.entry, np.arange(len(order) + 2) * self.blocks)  # of each term, and of unknown words
         self.upper = np.zeros(len(order) + 1, np.float32)
-        np.maximum.at(self.upper, self.entry // self.blocks, self.most[:-1])
+        np.maximum.at(self.upper, self.entry // self.blocks, self.most)
         codes = np.array(order, np.uint64)
         self.by_code = np.argsort(codes)
         self.codes = codes[self.by_code]
@@ -91,15 +93,22 @@ class ItemIndex:
         none = len(self.codes)
         return np.where(self.codes[at] == codes, self.by_code[at], none) if none else np.full(len(codes), none)
 
-    def _entry_of(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
-        key = term * self.blocks + block
-        at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-        return np.where(self.entry[at] == key, at, len(self.entry))
+    def _weights(self, of: np.ndarray, held: np.ndarray, first: np.ndarray, passage: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Sums of ``of`` over the entries of the ``first`` terms of each passage in a block."""
+        n = first[passage]
+        which = np.repeat(np.arange(len(passage)), n)
+        key = held[passage[which], np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)] * self.blocks + block[which]
+        at = np.searchsorted(self.entry, key)
+        here = self.entry[np.minimum(at, len(self.entry) - 1)] == key
+        which, found = which[here], of[at[here]]
+        if found.ndim == 1:
+            return np.bincount(which, found, minlength=len(passage))
+        return np.stack([np.bincount(which, lane, minlength=len(passage)) for lane in found.T], axis=1) if len(passage) else np.zeros((0, BLOCK))
 
     def search(self, terms: np.ndarray, offsets: np.ndarray, size: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, item) of every passage of every row that reaches
-        the threshold. Passages are ``2 * span`` words long and start every
-        ``span`` words, so each run of ``span`` words lies within one.
+        the threshold. Passages start every STRIDE words and are STRIDE - 1 words
+        longer than a span, so each run of ``span`` words lies within one.
 
         Block-max WAND for a batch of passages: the terms of a passage are
         sorted by the length of their lists; up to the pivot their greatest
@@ -111,21 +120,24 @@ class ItemIndex:
         """
         none, out = len(self.codes), []
         n = np.diff(offsets)
-        per = -(-n // self.span)
+        per = -(-n // STRIDE)
         row = np.repeat(np.arange(len(n)), per)
-        start = offsets[row] + self.span * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+        start = offsets[row] + STRIDE * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
         top = np.concatenate([[0.0], np.cumsum(self.upper[terms], dtype=np.float64)])
-        stop = np.minimum(start + 2 * self.span, offsets[row + 1])
+        width = self.span + STRIDE - 1
+        stop = np.minimum(start + width, offsets[row + 1])
         live = top[stop] - top[start] >= ENOUGH
         row, start, stop = row[live], start[live], stop[live]
         for a in range(0, len(row), size):
             r, s, e = row[a : a + size], start[a : a + size], stop[a : a + size]
-            at = s[:, None] + np.arange(2 * self.span)
+            at = s[:, None] + np.arange(width)
             held = np.where(at < e[:, None], terms[np.minimum(at, len(terms) - 1)], none)
             held.sort(axis=1)
             held[:, 1:][held[:, 1:] == held[:, :-1]] = none  # a word counts once
+            held.sort(axis=1)
             upto = np.cumsum(self.upper[held], axis=1)
             opened = (upto >= ENOUGH) & (held < none)
+            early = ((upto < ENOUGH) & (held < none)).sum(axis=1)  # the first terms of each passage
             below = np.where(upto < ENOUGH, upto, 0).max(axis=1)  # greatest weights before the pivot
             passage, column = np.nonzero(opened)
             term = held[passage, column]
@@ -136,12 +148,10 @@ class ItemIndex:
             passage, block = pair // self.blocks, pair % self.blocks
             keep = bound + below[passage] >= ENOUGH
             passage, block, bound = passage[keep], block[keep], bound[keep]
-            early = np.where(opened[passage], none, held[passage])
-            each = self._entry_of(early, block[:, None])
-            keep = bound + self.most[each].sum(axis=1) >= ENOUGH
-            passage, block, each = passage[keep], block[keep], each[keep]
-            late = self._entry_of(np.where(opened[passage], held[passage], none), block[:, None])
-            score = self.lanes[each].sum(axis=1) + self.lanes[late].sum(axis=1)
+            each = self._weights(self.most, held, early, passage, block)
+            keep = bound + each >= ENOUGH
+            passage, block = passage[keep], block[keep]
+            score = self._weights(self.lanes, held, (held < none).sum(axis=1), passage, block)
             hit, lane = np.nonzero(score >= ENOUGH)
             out.append((r[passage[hit]], s[passage[hit]], block[hit] * BLOCK + lane))
         if not out:
@@ -151,9 +161,9 @@ class ItemIndex:
     def verified(self, codes: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, place in the item) of the spans that a retrieved passage
         really shares with its item, word by word."""
-        at = start[:, None] + np.arange(2 * self.span)
+        at = start[:, None] + np.arange(self.span + STRIDE - 1)
         held = codes[np.minimum(at, len(codes) - 1)]
-        width = self.span + 1
+        width = STRIDE
         acc = np.zeros((len(row), width), np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.span):
