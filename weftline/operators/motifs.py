@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,25 @@ from weftline.functions.tokens import bound, ngrams
 from weftline.operators.information import entropy
 from weftline.session import cut
 
-#: Opcodes that branch.
-BRANCHES = "je jne jl jle jg jge jb jbe ja jae js jns jo jno jp jnp jmp".split()
+# Opcodes that branch.
+BRANCHES = ["je", "jne", "jl", "jle", "jg", "jge", "jb", "jbe", "ja", "jae", "js", "jns", "jo", "jno", "jp", "jnp", "jmp"]
+# What a motif probably does; the first rule counts of which all demands are met.
+MOTIF_RULES = [
+    {"label": "prologue: frame", "begins": ["push", "mov"]},
+    {"label": "prologue: save", "begins": ["push"]},
+    {"label": "epilogue: leave", "holds": ["leave", "ret"]},
+    {"label": "epilogue: pop", "holds": ["pop", "ret"]},
+    {"label": "epilogue: return", "ends": ["ret"]},
+    {"label": "branch: compare", "holds": ["cmp"], "any_of": BRANCHES},
+    {"label": "branch: test", "holds": ["test"], "any_of": BRANCHES},
+    {"label": "zeroing", "holds": ["xor"], "at_most": 3},
+    {"label": "call", "holds": ["call"]},
+    {"label": "bulk moves", "repeats": ("mov", 3)},
+    {"label": "address and load", "holds": ["lea", "mov"]},
+    {"label": "arithmetic", "any_of": ["add", "sub", "imul", "idiv"]},
+    {"label": "pushes", "repeats": ("push", 2)},
+    {"label": "pops", "repeats": ("pop", 2)},
+]
 
 
 def motif_counts(units: DataFrame, lengths: list[int]) -> DataFrame:
@@ -60,32 +79,24 @@ def top_motifs(motifs: DataFrame, most: int) -> DataFrame:
     return motifs.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= most)
 
 
-def motif_label(motif: Column) -> Column:
-    """What a motif probably does; the first rule that fits decides."""
+def motif_label(motif: Column, rules: list[dict] | None = None, other: str = "other") -> Column:
+    """The label of the first of ``rules`` whose demands a motif meets, as one
+    lookup among the numbers of the rules that it meets; null for null."""
     m = F.split(motif, " ")
-    has = lambda op: F.array_contains(m, op)
-    many = lambda op: F.size(F.filter(m, lambda x: x == op))
-    jumps = F.arrays_overlap(m, F.array(*map(F.lit, BRANCHES)))
-    rules = [
-        ((F.element_at(m, 1) == "push") & (F.try_element_at(m, F.lit(2)) == "mov"), "prologue: frame"),
-        (F.element_at(m, 1) == "push", "prologue: save"),
-        (has("leave") & has("ret"), "epilogue: leave"),
-        (has("pop") & has("ret"), "epilogue: pop"),
-        (F.element_at(m, -1) == "ret", "epilogue: return"),
-        (has("cmp") & jumps, "branch: compare"),
-        (has("test") & jumps, "branch: test"),
-        (has("xor") & (F.size(m) <= 3), "zeroing"),
-        (has("call"), "call"),
-        (many("mov") >= 3, "bulk moves"),
-        (has("lea") & has("mov"), "address and load"),
-        (F.arrays_overlap(m, F.array(*map(F.lit, ["add", "sub", "imul", "idiv"]))), "arithmetic"),
-        (many("push") >= 2, "pushes"),
-        (many("pop") >= 2, "pops"),
-    ]
-    out = F.lit("other")
-    for cond, label in reversed(rules):
-        out = F.when(F.coalesce(cond, F.lit(False)), label).otherwise(out)
-    return out
+    literal = lambda tokens: F.array(*map(F.lit, tokens))
+    demands = {
+        "begins": lambda t: F.slice(m, 1, len(t)) == literal(t),
+        "ends": lambda t: F.slice(F.reverse(m), 1, len(t)) == literal(t[::-1]),
+        "holds": lambda t: F.size(F.array_intersect(literal(t), m)) == len(t),
+        "any_of": lambda t: F.arrays_overlap(m, literal(t)),
+        "repeats": lambda t: F.size(F.filter(m, lambda x: x == t[0])) >= t[1],
+        "at_most": lambda n: F.size(m) <= n,
+    }
+    rules = MOTIF_RULES if rules is None else rules
+    meets = F.array(*[reduce(Column.__and__, [demands[k](v) for k, v in rule.items() if k != "label"]) for rule in rules])
+    first = F.array_position(meets, True)
+    label = F.element_at(F.array(*[F.lit(r["label"]) for r in rules], F.lit(other)), F.when(first > 0, first).otherwise(len(rules) + 1).cast("int"))
+    return F.when(motif.isNotNull(), label)
 
 
 def positional(units: DataFrame, window: int = 20) -> DataFrame:

@@ -128,11 +128,9 @@ def _(spark, folder):
 
 
 _P = lambda cond, n: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
-_SC = {
-    "gcc": [("lea > 0.05", 3), ("\"add\" > 0.1", 2)], "clang": [("vector > 0.02", 4), ("cmov > 0.005", 3), ("test > cmp", 2)], "rustc": [("ud2 > 0.001", 5), ("ud2 > 0", 3), ("\"call\" > 0.1", 2)],
-    "O0": [("mov > 0.3", 3), ("\"call\" > 0.1", 2), ("lea < 0.01", 2), ("cmov = 0", 3)], "O2": [("lea BETWEEN 0.01 AND 0.1", 3), ("cmov > 0.002", 3), ("jump BETWEEN 0.02 AND 0.1", 2), ("stack < 0.2", 2)],
-    "O3": [("vector > 0.01", 4), ("lea > 0.05", 3), ("\"distinct\" > 0.5", 2), ("cmov > 0.01", 1)],
-}
+_SC: dict = {}
+for _, _answer, _feature, _comparison, _value, _weight in cf.FINGERPRINT_RULES:
+    _SC.setdefault(_answer, []).append((cf.rule_condition(_feature, _comparison, _value, '"'), round(10 * _weight)))
 LABEL = f"{FP}, sc AS (SELECT seq, {', '.join('(' + ' + '.join(_P(c, n) for c, n in rules) + f') AS {k}' for k, rules in _SC.items())} FROM fp), lb AS (SELECT seq, CASE WHEN gcc >= clang AND gcc >= rustc THEN 'gcc' WHEN clang >= rustc THEN 'clang' ELSE 'rustc' END AS compiler, least(10, greatest(gcc, clang, rustc)) AS compiler_score, CASE WHEN O0 >= O2 AND O0 >= O3 THEN 'O0' WHEN O2 >= O3 THEN 'O2' ELSE 'O3' END AS level, least(10, greatest(O0, O2, O3)) AS level_score FROM sc)"
 
 
