@@ -255,6 +255,37 @@ def test_banded_distances(pairs, most):
         assert g == d if d <= most else g > most
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=30), st.lists(st.tuples(st.integers(0, 29), st.integers(0, 9), st.integers(0, 2)), max_size=6))
+def test_suffix_filter_keeps_what_few_edits_make(x, changes):
+    y = list(x)
+    for at, token, kind in changes:
+        at %= len(y) + 1
+        y[at : at + (kind != 0)] = [] if kind == 2 else [token]
+    a, b = np.array(x, np.uint64), np.array(y, np.uint64)
+    most = np.array([distance(x, y)])
+    assert edits.suffix_filter(a, np.array([0, len(a)]), b, np.array([0, len(b)]), most).all()
+
+
+def test_slices_are_bounded():
+    longest = np.sort(np.array([40] * 5000 + [1000] * 500 + [3_000_000] * 3))
+    cuts = list(edits._slices(longest, 15))
+    assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(longest)
+    assert all(b - a == 1 or (b - a) * longest[b - 1] <= edits.TABLES for a, b in cuts) and cuts[-3:] == [(5500, 5501), (5501, 5502), (5502, 5503)]
+
+
+def test_dense_family_needs_no_pair_inside_its_groups(spark):
+    rng = np.random.default_rng(11)
+    base = rng.choice(list("abcdefgh"), 80).tolist()
+    rows = []
+    for i in range(60):
+        s = list(base)
+        for _ in range(4):
+            s[int(rng.integers(80))] = str(rng.choice(list("abcdefgh")))
+        rows.append((i + 1, s))
+    assert {r.group_id for r in edits.near_copy_groups(table(spark, rows), "function_id", "ops").collect()} == {1}
+
+
 def test_near_copies(spark):
     rows = corpus(5, 8, 20) + ODD
     long = [(k, s) for k, s in rows if k is not None and s and len(s) >= 40]
