@@ -24,7 +24,7 @@ def test_same_as_sql(spark, duck, folder, name):
 
 @pytest.mark.skipif(not DATA, reason="no test data")
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(sql.oracle_sql())))
-def test_runs(spark, folder, name):
+def test_queries_without_sql_run(spark, folder, name):
     assert queries.queries()[name](spark, folder).count() >= 0
 
 
@@ -424,6 +424,39 @@ def test_mixture(spark):
     assert mixing.mix_sources(sizes.limit(0), targets, "k", "source").count() == 0
 
 
+def test_inclusion_rates(spark):
+    """Over many seeds a document is copied as often as its weight says."""
+    rows = [(i, "s", 10, 1.0 + (i % 3)) for i in range(600)]
+    sizes = spark.createDataFrame(rows, "k bigint, source string, tokens bigint, w double")
+    targets = spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int")
+    used, seeds = Counter(), 3
+    for seed in range(seeds):
+        mix = mixing.mix_sources(sizes, targets, "k", "source", weight="w", total=4500, seed=seed).collect()
+        assert sum(r.tokens * r.copies for r in mix) == 4500
+        used.update({r.k % 3: 0 for r in mix})
+        for r in mix:
+            used[r.k % 3] += r.copies
+    for kind in range(3):
+        assert used[kind] / (200 * seeds) == pytest.approx(450 / 1200 * (1 + kind), abs=0.07)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
+def test_shares_of_whole_tables(spark):
+    """Every source reaches its share of what was asked, or all its capped copies where those are too few."""
+    at = "/root/testdata/sf0.1"
+    mix = queries.p9_mix(spark, at).cache()
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", F.trim("source").alias("source"), "text")
+    sizes = mixing.token_counts(docs, "doc_id", "text", ["source"], mixing.default_tokenizer(spark))
+    have = {r.source: (r.t, r.m) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t"), F.max("tokens").alias("m")).collect()}
+    goals = spark.read.parquet(f"{at}/mix_targets.parquet").selectExpr("trim(source) source", "target_share", "max_repeats").dropna().dropDuplicates(["source"]).collect()
+    total = sum(have[g.source][0] for g in goals if g.source in have)
+    used = {r.source: (r.t, r.c) for r in mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("c")).collect()}
+    for g in goals:
+        if g.source in have:
+            want = min(g.target_share * total, have[g.source][0] * g.max_repeats)
+            assert abs(used[g.source][0] - want) <= have[g.source][1] and used[g.source][1] <= g.max_repeats
+
+
 def test_token_counts(spark):
     if not os.path.exists(mixing.default_tokenizer()):
         pytest.skip("no tokenizer")

@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut
@@ -20,13 +20,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 def token_counts(documents: DataFrame, key: str, text: str, carried: list[str], tokenizer: str) -> DataFrame:
     """(key, carried..., tokens): sizes of texts in tokens of the public
-    byte-level BPE whose ranks are in ``tokenizer``; a null text has none."""
+    byte-level BPE whose ranks are in the file ``tokenizer``; a null text has
+    none. The driver reads the file, a vocabulary of fixed size, and hands it on."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -110,6 +112,8 @@ def mixture_shares(mixture: DataFrame, targets: DataFrame, key: str) -> DataFram
     return rows.join(F.broadcast(all_tokens)).select("source", "target_share", "documents", "tokens", share.alias("actual_share"), "most_copies")
 
 
-def default_tokenizer() -> str:
-    """The file of the public 50k byte-level BPE."""
-    return os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
+def default_tokenizer(spark: SparkSession | None = None) -> str:
+    """The file of the public 50k byte-level BPE, in the folder that
+    ``spark.weftline.tokenizers`` names."""
+    folder = spark.conf.get("spark.weftline.tokenizers", "/opt/tokenizers") if spark else "/opt/tokenizers"
+    return os.path.join(folder, "byte_bpe_50k.tiktoken")

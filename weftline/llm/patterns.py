@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,34 +139,50 @@ def _paths(alphabet: frozenset[str], reach: int, shortest: int):
     return run
 
 
-def _tree(batches: Iterator[pa.RecordBatch], reach: int) -> tuple[PatternTree, list[str], int]:
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
-        return PatternTree([], reach), [], 0
-    rows = pa.concat_tables(tables)
-    items, gaps = rows["items"].to_pylist(), rows["gaps"].to_pylist()
-    names = sorted({x for p in items for x in p})
-    code = {x: i for i, x in enumerate(names)}
-    return PatternTree([tuple((code[i], g) for i, g in zip(p, q)) for p, q in zip(items, gaps)], reach), names, len(items)
+def _grow_tree(reach: int):
+    """All paths of a partition -> one row (records, names of the items, the tree's arrays)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code: dict[str, int] = {}
+        paths, records = [], 0
+        for batch in batches:
+            for p, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                paths.append(tuple((code.setdefault(i, len(code)), g) for i, g in zip(p, q)))
+            records += batch.num_rows
+        if records:
+            tree = pickle.dumps(vars(PatternTree(paths, reach)))
+            yield pa.record_batch([pa.array([records], pa.int64()), pa.array([list(code)], pa.list_(pa.string())), pa.array([tree], pa.binary())], names=["records", "names", "tree"])
+
+    return run
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[PatternTree, list[str], int]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            records, names, data = (c[i].as_py() for c in batch.columns)
+            tree = PatternTree.__new__(PatternTree)
+            vars(tree).update(pickle.loads(data))
+            yield tree, names, records
 
 
 def _result(found: list[tuple[str, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pattern", "n"])
 
 
-def frequent_patterns(records: DataFrame, key: str, seq: str, alphabet: frozenset[str], least: int, shortest: int = 3, longest: int = 5, between: int = 3, part_rows: int = 20_000, block: int = 200_000) -> DataFrame:
+def frequent_patterns(records: DataFrame, key: str, seq: str, alphabet: frozenset[str], least: int, shortest: int = 3, longest: int = 5, between: int = 3, part_rows: int = 20_000, block: int = 200_000, part_steps: int = 400_000) -> DataFrame:
     """(pattern, support): every ordered pattern of ``shortest`` to ``longest``
     tokens of ``alphabet`` (repeats allowed) whose steps follow each other with
     at most ``between`` other tokens between neighbours, in at least ``least``
     of the records. A pattern is its tokens joined by one space.
 
-    Each partition of about ``part_rows`` records merges its sequences into
-    one position-coded tree and mines it. A pattern with the support wanted
-    over all partitions reaches its share of it in at least one of them, so the
-    patterns that do are all candidates there can be; a second pass over the
-    same trees counts just these everywhere. Counts are exact. Candidates go
-    to the executors in blocks of at most ``block``; their number depends on
-    the share asked for, not on the rows.
+    Each partition of about ``part_rows`` records, or fewer if they have over
+    ``part_steps`` tokens of ``alphabet``, merges its sequences into one
+    position-coded tree, which is written once and mined. A pattern with the
+    support wanted over all partitions reaches its share of it in at least one
+    of them, so the patterns that do are all candidates there can be; a second
+    pass over the same trees counts just these everywhere. Counts are exact.
+    Candidates go to the executors in blocks of at most ``block``; their number
+    depends on the share asked for, not on the rows.
 
     ``alphabet`` must be a fixed reference list. A record with a null key or
     sequence holds nothing; ``key`` is a bigint, once in the table; an empty
@@ -175,33 +192,33 @@ def frequent_patterns(records: DataFrame, key: str, seq: str, alphabet: frozense
     rows = records.select(F.col(key).cast("bigint").alias("id"), F.col(seq).alias("seq")).dropna()
     paths = rows.mapInArrow(_paths(alphabet, reach, shortest), "id bigint, items array<string>, gaps array<int>")
     paths = cut(paths)
-    total = paths.count()
-    paths = cut(paths.repartition(max(1, math.ceil(total / part_rows)), "id")) if total else paths
+    total, steps = paths.agg(F.count(F.lit(1)), F.sum(F.size("items"))).first()
+    parts = max(1, math.ceil(total / part_rows), math.ceil((steps or 0) / part_steps))
+    trees = cut(paths.repartition(parts, "id").mapInArrow(_grow_tree(reach), "records bigint, names array<string>, tree binary"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, names, n = _tree(batches, reach)
-        share = max(1, -(-least * n // total)) if total else 1
-        yield _result([(" ".join(names[i] for i in p), n) for p, n in tree.mine(share, shortest, longest)])
+        for tree, names, n in _trees(batches):
+            share = max(1, -(-least * n // total))
+            yield _result([(" ".join(names[i] for i in p), n) for p, n in tree.mine(share, shortest, longest)])
 
-    candidates = cut(paths.mapInArrow(local, FOUND).groupBy("pattern").agg(F.sum("n").alias("n")))
+    candidates = cut(trees.mapInArrow(local, FOUND).groupBy("pattern").agg(F.sum("n").alias("n")))
     blocks = max(1, math.ceil(candidates.count() / block))
-    counted = None
+    asked = []
     for b in range(blocks):
         mine = candidates.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).select("pattern")
-        wanted = spark.sparkContext.broadcast([r[0] for r in mine.collect()])
+        asked.append(spark.sparkContext.broadcast([r[0] for r in mine.collect()]))
 
-        def exact(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            tree, names, _ = _tree(batches, reach)
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, names, _ in _trees(batches):
             code = {x: i for i, x in enumerate(names)}
-            prefixes, whole = set(), set()
-            for text in wanted.value:
-                steps = tuple(code.get(x, -1) for x in text.split(" "))
-                if -1 not in steps:
-                    whole.add(steps)
-                    prefixes.update(steps[: i + 1] for i in range(len(steps)))
-            found = [(p, n) for p, n in tree.mine(1, shortest, longest, prefixes) if p in whole]
-            yield _result([(" ".join(names[i] for i in p), n) for p, n in found])
-
-        part = paths.mapInArrow(exact, FOUND)
-        counted = part if counted is None else counted.union(part)
-    return counted.groupBy("pattern").agg(F.sum("n").alias("support")).filter(F.col("support") >= least)
+            for wanted in asked:
+                prefixes, whole = set(), set()
+                for text in wanted.value:
+                    steps = tuple(code.get(x, -1) for x in text.split(" "))
+                    if -1 not in steps:
+                        whole.add(steps)
+                        prefixes.update(steps[: i + 1] for i in range(len(steps)))
+                found = [(p, n) for p, n in tree.mine(1, shortest, longest, prefixes) if p in whole]
+                yield _result([(" ".join(names[i] for i in p), n) for p, n in found])
+
+    return trees.mapInArrow(exact, FOUND).groupBy("pattern").agg(F.sum("n").alias("support")).filter(F.col("support") >= least)

@@ -138,7 +138,7 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("source", F.trim("source"))
-    sizes = cut(mixing.token_counts(docs, "doc_id", "text", ["source"], mixing.default_tokenizer()))
+    sizes = cut(mixing.token_counts(docs, "doc_id", "text", ["source"], mixing.default_tokenizer(spark)))
     return mixing.mix_sources(sizes, table(spark, folder, "mix_targets"), "doc_id", "source")
 
 

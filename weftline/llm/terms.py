@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrowkit import flat, local_codes, row_ids
+from weftline.session import cut
 
 #: Ids in one container, and the cardinality from which a container is a bitmap.
 BITS, DENSE = 16, 4096
@@ -91,11 +92,19 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x], f.type) for x, f in zip(united(), CONTAINERS)], schema=CONTAINERS)
 
 
+def numbered(records: DataFrame, key: str) -> DataFrame:
+    """Records with a non-null key and ``_nr``, their number: dense within a
+    partition, whatever the keys look like, so that containers fill up. Rows are
+    written before, as numbers must be the same if a task runs again."""
+    return cut(records.filter(F.col(key).isNotNull())).withColumn("_nr", F.monotonically_increasing_id())
+
+
 def term_bitmaps(records: DataFrame, key: str, terms: str) -> DataFrame:
     """(term, bucket, ids, card, occ): for each term the compressed bitmap of the
     records that hold it, in containers of 65 536 record numbers, with the
     number of records and of occurrences. ``key`` is a bigint unique to a
-    record; records with a null key or array and null terms count nothing."""
+    record; the denser its values, the fuller the containers (``numbered``).
+    Records with a null key or array and null terms count nothing."""
     kind = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'string' if f.name == 'term' else 'bigint'}" for f in CONTAINERS)
     rows = records.select(F.col(key).cast("bigint").alias("key"), F.filter(F.col(terms), lambda x: x.isNotNull()).alias("terms")).filter("key is not null")
     partial = rows.mapInArrow(_build, kind)
@@ -111,8 +120,9 @@ def term_frequencies(records: DataFrame, key: str, terms: str, rare: int = 2, co
     record: rows of a record delivered twice must be dropped before. An empty
     table gives no rows.
     """
-    total = records.filter(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    sums = term_bitmaps(records, key, terms).groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("card").alias("records"))
+    rows = numbered(records.select(F.col(key).alias("_key"), F.col(terms).alias("_terms")), "_key")
+    total = rows.agg(F.count(F.lit(1)).alias("_n"))
+    sums = cut(term_bitmaps(rows, "_nr", "_terms").groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("card").alias("records")))
     tokens = sums.agg(F.sum("occurrences").alias("_t"))
     # both have one row
     both = sums.join(F.broadcast(total)).join(F.broadcast(tokens))
