@@ -495,6 +495,26 @@ def test_pages_of_other_lines(spark):
     assert sorted(r.doc_id for r in pages.stuffed_pages(df).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_pages_told_apart_by_binding_words():
+    stuffed = [
+        "cheap laptops buy laptops cheap notebooks best laptops deals laptops online cheap laptops discount notebooks buy cheap laptops best price laptops notebooks sale",
+        "flights hotels insurance mortgage casino poker loans credit watches replica handbags shoes jackets phones tablets laptops cameras games movies tickets holidays cruises villas yachts",
+        "cheap laptops\nbuy laptops\nbest laptops\nlaptops online\nlaptops sale\ncheap notebooks\nbuy notebooks\nbest notebooks\nnotebooks online\nnotebooks sale",
+        "example.com\nshop-example.net\nbest-deals.org\ncheapstuff.info\nmysite.co.uk\nlinks4u.biz",
+        "red cotton shirt men\nblue cotton shirt men\ngreen cotton shirt men\nred wool sweater women\nblue wool sweater women\nblack leather belt men",
+    ]
+    ordinary = [
+        "2 cups flour\n1 tsp salt\n3 eggs\n1 cup milk\n2 tbsp butter\n1 tbsp sugar\n1 tsp vanilla extract\n2 tsp baking powder",
+        "The rain is on the roof tonight\nand I am far from home\nO carry me, O carry me\nacross the silver foam\n" * 3,
+        "The market sold apples, pears, plums, cherries, fresh figs, dried dates, walnuts, almonds and wild honey",
+        "The market sold apples, pears, plums, cherries, fresh figs, dried dates, walnuts, almonds, and wild honey",
+    ]
+    for texts, wanted in ((stuffed, True), (ordinary, False)):
+        for text in texts:
+            total, found = pages.page_words(text)
+            assert (2 * sum(found.values()) > total) == wanted, text
+
+
 def test_pages_of_many_shapes(spark):
     words = ["Alpha", "beta", "GAMMA"]
     links = "\n".join(f"{' '.join(words[i % 3] for _ in range(n))}{mark} http://a{n}{i}.test/x" for i in range(3) for n in range(1, 6) for mark in ("", ":", " |", " -"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
+URL = re.compile(r"(?:https?://|www\.)\S+|^(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,6}(?:/\S*)?[,;]?$", re.I)
 MARKUP = re.compile(r"<a\s[^<>]*>[^<>\n]*</a>|\[[^\[\]\n]*\]\((?:https?://|www\.)[^\s()]*\)", re.I)
 TAG = re.compile(r"^#\w[\w-]*[,;]?$")
 PRICE = re.compile(r"^[$€£]?\d+[.,]\d\d[$€£]?$")
@@ -20,6 +20,19 @@ STOP = re.compile(r"[^\W_][.?!]['\"”)]*(?=\s|$)")
 #: An end of sentence at the end of a line, also after a space or in other scripts.
 ENDED = re.compile(r"[.?!…。？！]['\"”»)]*\s*$")
 NUMBERED = re.compile(r"^(?:\d+[.)]|[-*+•])\s+")
+#: A quantity and what is measured, as in recipes and parts lists.
+MEASURE = re.compile(r"^(?:\d+(?:[.,/]\d+)?|[½¼¾⅓⅔])\s+[^\W\d_]")
+# Words that bind sentences and that lists of keywords do without; lists of other languages are a parameter of the operator.
+BINDING = frozenset([
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "by", "is", "are", "was", "were", "be", "it", "its", "that", "this", "with", "from", "as", "not", "no", "which", "who", "when", "if", "than", "i", "me", "my", "you", "he", "she", "we", "they", "has", "have", "had",
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "und", "oder", "aber", "zu", "auf", "aus", "mit", "von", "bei", "ist", "sind", "war", "nicht", "dass", "wenn", "als", "wie", "ich", "er", "sie", "wir", "es", "im", "nach",
+    "le", "la", "les", "un", "une", "du", "et", "ou", "mais", "dans", "sur", "avec", "par", "est", "sont", "ne", "pas", "que", "qui", "quand", "je", "il", "elle", "nous", "au", "ce", "cette", "pour",
+    "el", "los", "las", "una", "y", "o", "pero", "en", "con", "por", "son", "no", "cuando", "yo", "se", "del", "al", "lo", "su", "para", "como",
+])
+# Words before the last part of an enumeration.
+CONJUNCTIONS = frozenset(["and", "or", "und", "oder", "et", "ou", "y", "e", "o", "u"])
+#: Share of binding words from which an unpunctuated stretch is prose, and below which a long one is a list.
+PROSE, BARE = 0.25, 0.04
 WORD = re.compile(r"[^\W\d_]+")
 #: Marks that part the entries of a list and no clauses of a sentence.
 APART = r"\s*[|•·]\s*|\s[/~»]\s"
@@ -52,11 +65,20 @@ def _variety(words: list[str]) -> float:
     return sum(sample) / len(sample)
 
 
+def binding_share(words: list[str]) -> float:
+    return sum(w in BINDING for w in words) / len(words) if words else 0.0
+
+
 def _repeats(words: list[str]) -> bool:
     """Whether an unpunctuated stretch repeats itself: within 40 words, in its
-    runs of three words (a cycle of any length), or by having far fewer
-    different words than a text of its length."""
-    if _variety(words) < REPEATED + 0.1:
+    runs of three words (a cycle of any length), by having far fewer different
+    words than a text of its length, or, if it is long, by having none of the
+    words that bind sentences. A stretch with many of these is prose with a
+    refrain."""
+    share = binding_share(words)
+    if share >= PROSE:
+        return False
+    if _variety(words) < REPEATED + 0.1 or (len(words) >= 2 * STRETCH and share < BARE):
         return True
     threes = list(zip(words, words[1:], words[2:]))
     return len(words) >= 40 and (len(set(threes)) < 0.5 * len(threes) or len(set(words)) < 1.5 * len(words) ** 0.7)
@@ -101,11 +123,15 @@ def line_shape(line: str) -> tuple[str, int, str]:
         parts = [p.split() for p in re.split(mark, body)]
         if len(parts) >= ENTRIES and max(map(len, parts)) <= ENTRY and stops <= len(parts) // 8:
             # commas and semicolons also part clauses, so those lists must be long or repeat themselves
+            if mark != APART and any(w.lower() in CONJUNCTIONS for w in parts[-1][:3]):
+                continue  # an enumeration within a sentence
             several = len(parts) >= 2 * ENTRIES and sum(len(p) > 1 or (len(p) == 1 and p[0][0].isalpha()) for p in parts) * 4 >= len(parts) * 3
             if mark == APART or (not stops and (several or _variety(low) < 0.75)):
                 return shape("cells")
     if n >= STRETCH and stops * 40 <= n and _repeats(low):
         return shape("stuffed")
+    if not stops and 1 < n <= 2 * ENTRY and MEASURE.match(body) and not NUMBERED.match(line.strip()):
+        return shape("table")
     if not stops and 0 < n <= ENTRY:
         return shape("entry")
     if not stops and n and not ENDED.search(body):
@@ -129,7 +155,7 @@ def page_words(text: str | None) -> tuple[int, Counter]:
             lines = {re.sub(r"\W+", " ", line.lower()).strip() for _, line, _, _ in entries}
             # single words recur in prose too, so a list of them must repeat more
             repeats = len(lines) < (0.7 if several >= 1.6 else 0.35) * len(entries)
-            if repeats or (several >= 1.6 and _variety(words) < 0.85):
+            if binding_share(words) < PROSE and (repeats or (several >= 1.6 and _variety(words) < 0.85)):
                 for _, _, n, shape in entries:
                     found[shape] += n
 
