@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tokens import portable_hash
+from weftline.session import grows
+
+#: Ranks that one task sums up together.
+PIECE = 1 << 16
 
 
 def token_counts(units: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -13,12 +18,30 @@ def token_counts(units: DataFrame, by: list[str] | None = None) -> DataFrame:
     return units.select(*(by or []), F.explode("ops").alias("tok")).groupBy(*(by or []), "tok").agg(F.count(F.lit(1)).alias("c"))
 
 
+def dense_ranks(rows: DataFrame, tok: str = "tok", c: str | None = None) -> DataFrame:
+    """Rows with ``rank`` from 1, by falling ``c`` if given, then by ``tok``, and
+    no task that sees all: rows are ranked within groups of one count and the
+    first two letters, and the groups' sizes give the ranks before them."""
+    group = [*([c] if c else []), "letters"]
+    falling = [*([F.desc(c)] if c else []), "letters"]
+    keyed = rows.withColumn("letters", F.substring(tok, 1, 2))
+    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    # a row for each count and two letters
+    before = F.sum("size").over(Window.orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(tok))
+    placed = keyed.withColumn("own", own).join(grows(sizes.select(*group, before.alias("before"))), group)
+    return placed.select(*rows.columns, (F.col("own") + F.col("before")).cast("bigint").alias("rank"))
+
+
 def rank_frequency(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts with rank (ties by token) and relative frequency. The window is
-    over the distinct tokens, not over the occurrences."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(part.orderBy(F.desc("c"), "tok"))
-    return counts.withColumn("rank", rank.cast("bigint")).withColumn("rel", F.col("c") / F.sum("c").over(part))
+    """Counts with rank (ties by token) and relative frequency. Without ``by`` no
+    task sees all distinct tokens; with it one sees those of a group."""
+    if by:
+        part = Window.partitionBy(*by)
+        rank = F.row_number().over(part.orderBy(F.desc("c"), "tok"))
+        return counts.withColumn("rank", rank.cast("bigint")).withColumn("rel", F.col("c") / F.sum("c").over(part))
+    total = counts.agg(F.sum("c").alias("_total"))  # one row
+    return dense_ranks(counts, "tok", "c").join(F.broadcast(total)).select(*counts.columns, "rank", (F.col("c") / F.col("_total")).alias("rel"))
 
 
 def zipf_ols(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -47,20 +70,36 @@ def zipf_bootstrap(ranks: DataFrame, replicates: int, seed: int) -> DataFrame:
     return alphas.agg(F.percentile("a", F.lit(0.025)).alias("low"), F.percentile("a", F.lit(0.5)).alias("mid"), F.percentile("a", F.lit(0.975)).alias("high"))
 
 
+#: Terms of a sum over ranks that are added one by one; beyond, an integral with its end corrections is as exact.
+HEAD = 4096
+_NODES, _WEIGHTS = (x.tolist() for x in np.polynomial.legendre.leggauss(64))
+
+
+def _power_sums(alpha: Column, v: Column) -> list[Column]:
+    """Sums of r^-alpha (ln r)^k for k = 0, 1, 2 and r from 1 to v, with work that
+    does not grow with v: the first HEAD terms, then Euler-Maclaurin, its
+    integral over ln r by Gauss-Legendre quadrature."""
+    f = lambda r, k: F.pow(r.cast("double"), -alpha) * F.pow(F.log(r.cast("double")), F.lit(k))
+    # derivative of r^-alpha (ln r)^k
+    slope = lambda r, k: F.pow(r, -alpha - 1) * (k * F.pow(F.log(r), F.lit(max(k - 1, 0))) - alpha * F.pow(F.log(r), F.lit(k)))
+    first = F.least(v, F.lit(HEAD).cast("bigint"))
+    a, b = F.log(F.lit(float(HEAD))), F.log(v.cast("double"))
+    nodes = F.arrays_zip(F.array(*map(F.lit, _NODES)).alias("x"), F.array(*map(F.lit, _WEIGHTS)).alias("w"))
+    at = lambda x: (b - a) / 2 * x + (a + b) / 2
+
+    def total(k: int) -> Column:
+        head = F.aggregate(F.sequence(F.lit(1).cast("bigint"), first), F.lit(0.0), lambda s, r: s + f(r, k))
+        integral = F.aggregate(nodes, F.lit(0.0), lambda s, p: s + p["w"] * F.exp((1 - alpha) * at(p["x"])) * F.pow(at(p["x"]), F.lit(k))) * (b - a) / 2
+        ends = (f(v, k) - f(F.lit(HEAD), k)) / 2 + (slope(v.cast("double"), k) - slope(F.lit(float(HEAD)), k)) / 12
+        return head + F.when(v > HEAD, integral + ends).otherwise(0.0)
+
+    return [total(k) for k in range(3)]
+
+
 def _moment(alpha: Column, v: Column) -> Column:
     """E and Var of ln r under r^-alpha on 1..v, as struct(e, d)."""
-    zero = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    sums = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), v),
-        zero,
-        lambda s, r: F.struct(
-            (s["z"] + F.pow(r.cast("double"), -alpha)).alias("z"),
-            (s["a"] + F.pow(r.cast("double"), -alpha) * F.log(r.cast("double"))).alias("a"),
-            (s["b"] + F.pow(r.cast("double"), -alpha) * F.log(r.cast("double")) * F.log(r.cast("double"))).alias("b"),
-        ),
-        lambda s: F.struct((s["a"] / s["z"]).alias("e"), (s["b"] / s["z"] - (s["a"] / s["z"]) * (s["a"] / s["z"])).alias("d")),
-    )
-    return sums
+    z, x, y = _power_sums(alpha, v)
+    return F.struct((x / z).alias("e"), (y / z - (x / z) * (x / z)).alias("d"))
 
 
 def zipf_mle(ranks: DataFrame, steps: int = 12) -> DataFrame:
@@ -76,10 +115,14 @@ def zipf_mle(ranks: DataFrame, steps: int = 12) -> DataFrame:
 
 def zipf_ks(ranks: DataFrame, fit: DataFrame) -> DataFrame:
     """Greatest distance between the empirical and the fitted distribution of ranks."""
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # over distinct tokens
     both = ranks.join(F.broadcast(fit.select("alpha")))  # one row
-    p = F.pow(F.col("rank").cast("double"), -F.col("alpha"))
-    cum = both.select("rank", F.sum("c").over(w).alias("cc"), F.sum(p).over(w).alias("cp"), "c", p.alias("p"), "alpha")
+    rows = both.select("rank", "c", F.pow(F.col("rank").cast("double"), -F.col("alpha")).alias("p"), "alpha", F.floor(F.col("rank") / PIECE).alias("piece"))
+    sums = rows.groupBy("piece").agg(F.sum("c").alias("sc"), F.sum("p").alias("sp"))
+    upto = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)  # a row for each PIECE ranks
+    sums = sums.select("piece", (F.sum("sc").over(upto) - F.col("sc")).alias("bc"), (F.sum("sp").over(upto) - F.col("sp")).alias("bp"))
+    w = Window.partitionBy("piece").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumn("cc", F.sum("c").over(w)).withColumn("cp", F.sum("p").over(w)).join(grows(sums), "piece")
+    cum = cum.select("alpha", (F.col("cc") + F.col("bc")).alias("cc"), (F.col("cp") + F.col("bp")).alias("cp"))
     ends = cum.agg(F.max("cc").alias("n"), F.max("cp").alias("z"))
     d = F.abs(F.col("cc") / F.col("n") - F.col("cp") / F.col("z"))
     return cum.join(F.broadcast(ends)).groupBy("alpha").agg(F.max(d).alias("ks"))
@@ -93,8 +136,8 @@ def zipf_against_lognormal(ranks: DataFrame, fit: DataFrame) -> DataFrame:
         F.avg(F.log("c")).alias("mu"), F.stddev_pop(F.log("c")).alias("sd"), F.sum(F.col("c") * F.log("rank")).alias("s"), F.sum("c").alias("n"),
         F.count(F.lit(1)).alias("v"), F.sum(F.log("c")).alias("sl"), F.sum(F.log("c") * F.log("c")).alias("sq"),
     )
-    z = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("v")), F.lit(0.0), lambda a, r: a + F.pow(r.cast("double"), -F.col("alpha")))
-    both = stats.join(F.broadcast(fit.select("alpha"))).withColumn("z", z)
+    both = stats.join(F.broadcast(fit.select("alpha")))
+    both = both.withColumn("z", _power_sums(F.col("alpha"), F.col("v"))[0])
     zipf = -F.col("alpha") * F.col("s") - F.col("n") * F.log("z")
     normal = -F.col("sl") - F.col("v") * F.log(F.col("sd") * F.sqrt(F.lit(6.283185307179586))) - (F.col("sq") - 2 * F.col("mu") * F.col("sl") + F.col("v") * F.col("mu") * F.col("mu")) / (2 * F.col("sd") * F.col("sd"))
     return both.select(zipf.alias("zipf"), normal.alias("lognormal"), (zipf - normal).alias("ratio"))
@@ -102,7 +145,7 @@ def zipf_against_lognormal(ranks: DataFrame, fit: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(tok, id): dense ids from 0 in code-point order of the distinct tokens."""
-    return counts.select("tok", (F.row_number().over(Window.orderBy("tok")) - 1).cast("bigint").alias("id"))
+    return dense_ranks(counts.select("tok")).select("tok", (F.col("rank") - 1).alias("id"))
 
 
 def encode(units: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tokens import bound, ngrams
+from weftline.session import grows
+
+
+#: Places of a sequence (units, or single tokens) that one task handles together.
+PIECE, TOKENS = 1024, 1 << 16
 
 
 def as_units(df: DataFrame, seq: str, unit: str, upos: str, ops: str, size: int = 1024) -> DataFrame:
@@ -26,25 +31,41 @@ def as_units(df: DataFrame, seq: str, unit: str, upos: str, ops: str, size: int
     return cut.select("seq", "unit", F.struct("upos", "unit", "at").alias("upos"), "at", F.slice("ops", F.col("at") + 1, size).alias("ops"))
 
 
-def order(units: DataFrame) -> Window:
-    return Window.partitionBy("seq").orderBy("upos")
+def _piece(place: Column, size: int) -> Column:
+    return F.floor(place / size).cast("bigint")
+
+
+def _in_piece() -> Window:
+    return Window.partitionBy("seq", "piece").orderBy("upos")
 
 
 def positions(units: DataFrame) -> DataFrame:
     """(seq, unit, pos, gpos, tok): every token with its place in its unit and
-    in its sequence. The running total is over units, not over tokens."""
-    before = F.coalesce(F.sum(F.size("ops")).over(order(units).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = units.select("seq", "unit", "at", before.alias("before"), "ops")
-    out = placed.select("seq", "unit", "at", "before", F.posexplode("ops").alias("i", "tok"))
+    in its sequence. Running totals are over the units of a piece and over the
+    pieces of a sequence, never over tokens."""
+    rows = units.select("seq", "unit", "upos", "at", "ops", _piece(F.col("upos.upos"), PIECE).alias("piece"))
+    sums = rows.groupBy("seq", "piece").agg(F.sum(F.size("ops")).alias("n"))
+    upto = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("seq", "piece", upto(Window.partitionBy("seq").orderBy("piece"), F.col("n")).alias("earlier"))
+    placed = rows.withColumn("before", upto(_in_piece(), F.size("ops"))).join(grows(sums), ["seq", "piece"])
+    out = placed.select("seq", "unit", "at", (F.col("before") + F.col("earlier")).alias("before"), F.posexplode("ops").alias("i", "tok"))
     return out.select("seq", "unit", (F.col("at") + F.col("i")).cast("bigint").alias("pos"), (F.col("before") + F.col("i")).alias("gpos"), "tok")
 
 
 def with_context(units: DataFrame, more: int) -> DataFrame:
-    """Units with ``next``: the ``more`` tokens that follow them in their sequence."""
+    """Units with ``next``: the ``more`` tokens that follow them in their
+    sequence, those of the next pieces included."""
     if more < 1:
         return units.withColumn("next", F.array().cast("array<string>"))
-    heads = F.collect_list(F.slice("ops", 1, more)).over(order(units).rowsBetween(1, more))
-    return units.withColumn("next", F.slice(F.flatten(heads), 1, more))
+    few = lambda lists: F.slice(F.flatten(lists), 1, more)
+    rows = units.withColumn("piece", _piece(F.col("upos.upos"), PIECE)).withColumn("head", F.slice("ops", 1, more))
+    rows = rows.withColumn("own", few(F.collect_list("head").over(_in_piece().rowsBetween(1, more)))).withColumn("nr", F.row_number().over(_in_piece()))
+    heads = rows.filter(F.col("nr") <= more).groupBy("seq", "piece").agg(F.array_sort(F.collect_list(F.struct("nr", "head"))).alias("h"))
+    heads = heads.select("seq", "piece", few(F.transform("h", lambda x: x["head"])).alias("head"))
+    later = F.collect_list("head").over(Window.partitionBy("seq").orderBy("piece").rowsBetween(1, more))
+    heads = heads.select("seq", "piece", few(later).alias("later"))
+    both = rows.join(grows(heads), ["seq", "piece"])
+    return both.select(*units.columns, F.slice(F.concat("own", "later"), 1, more).alias("next"))
 
 
 def unit_ngrams(units: DataFrame, lengths: list[int]) -> DataFrame:
@@ -84,18 +105,31 @@ def lag_pairs(units: DataFrame, lags: int) -> DataFrame:
 
 def shuffled(units: DataFrame, seed: int) -> DataFrame:
     """The tokens of each sequence in an order that only sequence, place and
-    seed decide, as positions (seq, gpos, tok); other engines can repeat it."""
+    seed decide, as positions (seq, gpos, tok); other engines can repeat it.
+    Tokens are ranked within 4096 ranges of the random order, whose sizes give
+    the places at which they begin."""
     tokens = positions(units)
     rank = F.md5(F.concat_ws("|", F.col("seq").cast("string"), F.col("gpos").cast("string"), F.lit(str(seed))))
-    w = Window.partitionBy("seq").orderBy(rank, "gpos")
-    return tokens.select("seq", (F.row_number().over(w) - 1).cast("bigint").alias("gpos"), "tok")
+    keyed = tokens.select("seq", "gpos", "tok", rank.alias("rank"), F.substring(rank, 1, 3).alias("range"))
+    sizes = keyed.groupBy("seq", "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("seq").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("seq", "range").orderBy("rank", "gpos")) - 1
+    placed = keyed.withColumn("own", own).join(grows(sizes.select("seq", "range", upto.alias("upto"))), ["seq", "range"])
+    return placed.select("seq", (F.col("own") + F.col("upto")).cast("bigint").alias("gpos"), "tok")
 
 
 def position_ngrams(tokens: DataFrame, lengths: list[int]) -> DataFrame:
-    """(seq, n, gram) of a table of single positions."""
-    w = Window.partitionBy("seq").orderBy("gpos")
-    ahead = [F.lead("tok", k).over(w) for k in range(1, max(lengths))]
-    wide = tokens.select("seq", F.col("tok").alias("t0"), *[a.alias(f"t{k + 1}") for k, a in enumerate(ahead)])
+    """(seq, n, gram) of a table of single positions without gaps. Each piece
+    also gets the first tokens of the next, from which no gram of it begins."""
+    most = max(lengths)
+    piece = _piece(F.col("gpos"), TOKENS)
+    lent = (F.col("gpos") % TOKENS < most - 1) & (F.col("gpos") >= TOKENS)
+    pieces = F.when(lent, F.array(piece, piece - 1)).otherwise(F.array(piece))
+    held = tokens.select("seq", "gpos", "tok", piece.alias("own"), F.explode(pieces).alias("piece"))
+    w = Window.partitionBy("seq", "piece").orderBy("gpos")
+    ahead = [F.lead("tok", k).over(w) for k in range(1, most)]
+    wide = held.select("seq", "own", "piece", F.col("tok").alias("t0"), *[a.alias(f"t{k + 1}") for k, a in enumerate(ahead)])
+    wide = wide.filter("own = piece")
 
     def of(n: int) -> Column:
         gram = F.concat_ws(" ", *[F.col(f"t{k}") for k in range(n)])
