@@ -29,6 +29,33 @@ def test_units_are_cut_without_changing_ngrams(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
+@pytest.mark.parametrize("piece", [1, 2, 1024])
+def test_sequences_in_pieces(spark, monkeypatch, piece):
+    """Places, contexts and shuffles don't depend on where a sequence is parted."""
+    monkeypatch.setattr(units, "PIECE", piece)
+    monkeypatch.setattr(units, "TOKENS", piece * 3)
+    rows = [(s, 10 * i + k, i, [f"{s}{i}_{j}" for j in range((i * 7 + k) % 5)]) for s in "ab" for i in range(9) for k in range(2)]
+    u = units.as_units(ops(spark, rows), "seq", "unit", "upos", "ops")
+    whole = {s: [t for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])) for t in r[3]] for s in "ab"}
+    placed = units.positions(u).collect()
+    assert {s: [r.tok for r in sorted(placed, key=lambda r: r.gpos) if r.seq == s] for s in "ab"} == whole
+    assert all(sorted(r.gpos for r in placed if r.seq == s) == list(range(len(whole[s]))) for s in "ab")
+    grams = sorted((s, " ".join(whole[s][i : i + 4])) for s in "ab" for i in range(len(whole[s]) - 3))
+    assert sorted((r.seq, r.gram) for r in units.unit_ngrams(u, [4]).collect()) == grams
+    assert sorted((r.seq, r.gram) for r in units.position_ngrams(units.positions(u), [4]).collect()) == grams
+    mixed = units.shuffled(u, 3).collect()
+    assert sorted((r.seq, r.gpos) for r in mixed) == sorted((r.seq, r.gpos) for r in placed) and sorted(r.tok for r in mixed) == sorted(r.tok for r in placed)
+
+
+def test_norm_operand(spark):
+    rows = [("[rip+0x2f] # 0040a0", "f"), ("[rip+0x2f]", "f"), ("4010 <g+0x8>", "f"), ("4010 <f+0x8>", "f"), ("4010a", "f"), ("0x8", "f"), ("401 <f>", None), ("[rip+0x1] # 0", "f")]
+    df = spark.createDataFrame(rows, "op string, name string")
+    got = [r.x for r in df.select(classify.norm_operand(F.col("op"), F.col("name")).alias("x")).collect()]
+    assert got == ["DATA@40a0", "[rip+ADDR]", "SYM:g", "SELFREL", "REL", "0x8", "SYM:f", "DATA@0"]
+    named = df.select(classify.norm_operand(F.col("op"), F.col("name"), lambda a: F.when(a == "40a0", "usage")).alias("x")).collect()
+    assert [named[0].x, named[7].x] == ["STR:usage", "DATA@0"]
+
+
 def test_entropy_of_a_fair_coin_and_of_nothing(spark):
     counts = spark.createDataFrame([("g", "h", 4), ("g", "t", 4), ("one", "x", 3)], "k string, tok string, c bigint")
     h = {r.k: r.h for r in information.entropy(counts, ["k"]).collect()}

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, grows
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -29,15 +29,15 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(grows(least), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        small = large.join(grows(low), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             break
         seen = now
-    alone = rows.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(edges.select(F.col("a").alias("id")), "id", "left_anti")
+    alone = rows.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(grows(edges.select(F.col("a").alias("id"))), "id", "left_anti")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(alone.select("id", F.col("id").alias("component")))
 
 

@@ -10,7 +10,7 @@ from weftline.operators import classify as cf
 from weftline.operators import frequency as fq
 from weftline.operators import resample as re
 from weftline.plans.common import SQL_F, SQL_H, SQL_T, functions, instruction_rows, programs, r6
-from weftline.session import checkpoint_folder, cut
+from weftline.session import checkpoint_folder, cut, grows
 from weftline.sources import disassembly as ds
 from weftline.sources.tables import latest, table
 
@@ -60,6 +60,22 @@ _REG = cf.ANY_REGISTER.replace("(?:", "(")
 _CLS = f"CASE WHEN contains(x, '[') THEN 'mem' WHEN regexp_matches(lower(x), '^{_REG}$') THEN 'reg' WHEN regexp_matches(x, '^-?(0x[0-9a-fA-F]+|[0-9]+)$') THEN 'imm' WHEN regexp_matches(x, '^[a-zA-Z_][a-zA-Z0-9_@.<>+\\-]*$') THEN 'label' WHEN regexp_matches(lower(x), '\\b{_REG}\\b') THEN 'reg' ELSE 'imm' END"
 
 
+NORM = r"""CASE WHEN contains(op, '[rip+') THEN CASE WHEN regexp_extract(op, '#\s*([0-9a-f]+)', 1) <> '' THEN 'DATA@' || coalesce(nullif(ltrim(regexp_extract(op, '#\s*([0-9a-f]+)', 1), '0'), ''), '0') ELSE regexp_replace(op, '\[rip\+0x[0-9a-f]+\]', '[rip+ADDR]', 'g') END
+  WHEN regexp_extract(op, '<([^>+]+)(\+0x[0-9a-f]+)?>', 1) <> '' THEN CASE WHEN regexp_extract(op, '<([^>+]+)(\+0x[0-9a-f]+)?>', 1) = coalesce(name, '') THEN 'SELFREL' ELSE 'SYM:' || regexp_extract(op, '<([^>+]+)(\+0x[0-9a-f]+)?>', 1) END
+  WHEN regexp_matches(trim(op), '^[0-9a-f]+$') THEN 'REL' ELSE op END"""
+
+
+SPLIT = r"'(?:\[[^\]]*\]|[^,\[])+'"  # operands between commas outside brackets
+
+
+@query("norm_operands", f"WITH {INS}, {SQL_F}, x AS (SELECT function_id, unnest(list_filter(list_transform(regexp_extract_all(coalesce(operands, ''), {SPLIT}), lambda x: trim(x)), lambda x: x <> '')) AS op FROM i), y AS (SELECT op, name FROM x LEFT JOIN f USING (function_id)) SELECT {NORM} AS operand, count(*) AS n FROM y GROUP BY 1")
+def _(spark, folder):
+    """Operands without what only their place decides."""
+    rows = _ins(spark, folder).select("function_id", F.explode(cf.operand_list(F.col("operands"))).alias("op"))
+    named = rows.join(grows(functions(spark, folder).select("function_id", "name")), "function_id", "left")
+    return named.groupBy(cf.norm_operand(F.col("op"), F.col("name")).alias("operand")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("tokenize_class", f"WITH {INS} SELECT array_to_string([m] || list_transform(ops, lambda x: {_CLS}), '_') AS token, count(*) AS n FROM o GROUP BY 1")
 def _(spark, folder):
     return _ins(spark, folder).groupBy(cf.class_token(F.col("m"), F.col("operands")).alias("token")).agg(F.count(F.lit(1)).alias("n"))

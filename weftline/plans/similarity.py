@@ -12,7 +12,7 @@ from weftline.operators import compression as co
 from weftline.operators import distance as di
 from weftline.operators import units as un
 from weftline.plans.common import SQL_E, SQL_F, SQL_H, SQL_T, functions, programs, r6, sql_grams, texts, users
-from weftline.session import cut
+from weftline.session import cut, grows
 from weftline.sources.tables import table
 
 QUERIES: dict = {}
@@ -119,14 +119,14 @@ def _group_grams(spark, folder, n: int) -> DataFrame:
     return grams.join(dim, "seq").groupBy(F.col("g").alias("seq"), "gram").agg(F.sum("c").alias("c"))
 
 
-def _group_counts(spark, folder, n: int, most: int = 500) -> DataFrame:
+def _group_counts(spark, folder, n: int, most: int = 10_000) -> DataFrame:
     counts = cut(_group_grams(spark, folder, n))
     top = counts.groupBy("gram").agg(F.sum("c").alias("t")).orderBy(F.desc("t"), "gram").limit(most).select("gram")
     return counts.join(top, "gram", "left_semi")
 
 
 def _cos_sql(n: int, name: str) -> str:
-    return f"""gc{n} AS (SELECT grp.g AS seq, gram, count(*) AS c FROM g JOIN grp USING (seq) WHERE n = {n} GROUP BY ALL), top{n} AS (SELECT gram FROM gc{n} GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT 500), ft{n} AS (SELECT * FROM gc{n} SEMI JOIN top{n} USING (gram)),
+    return f"""gc{n} AS (SELECT grp.g AS seq, gram, count(*) AS c FROM g JOIN grp USING (seq) WHERE n = {n} GROUP BY ALL), top{n} AS (SELECT gram FROM gc{n} GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT 10000), ft{n} AS (SELECT * FROM gc{n} SEMI JOIN top{n} USING (gram)),
 nm{n} AS (SELECT seq, sqrt(sum(CAST(c AS DOUBLE) * c)) AS norm FROM ft{n} GROUP BY seq),
 {name} AS (SELECT a.seq AS a, b.seq AS b, sum(CAST(a.c AS DOUBLE) * b.c) / any_value(na.norm) / any_value(nb.norm) AS cosine FROM ft{n} a JOIN ft{n} b ON a.gram = b.gram AND a.seq < b.seq JOIN nm{n} na ON na.seq = a.seq JOIN nm{n} nb ON nb.seq = b.seq GROUP BY a.seq, b.seq)"""
 
@@ -247,23 +247,23 @@ def _(spark, folder):
 
 # Clones: one function stands for all with the same sequence
 
-REPS = f"WITH {SQL_F}, rep AS (SELECT min(function_id) AS unit, ops FROM f WHERE len(ops) >= 20 GROUP BY ops)"
+REPS = f"WITH {SQL_F}, rep AS (SELECT min(function_id) AS unit, ops FROM f WHERE len(ops) >= 10 GROUP BY ops)"
 
 
 def _reps(spark, folder) -> DataFrame:
-    return functions(spark, folder).filter("size >= 20").groupBy("ops").agg(F.min("function_id").alias("unit")).select("unit", "ops")
+    return functions(spark, folder).filter("size >= 10").groupBy("ops").agg(F.min("function_id").alias("unit")).select("unit", "ops")
 
 
-HASHES, BANDS, ROWS = 32, 8, 4
+HASHES, BANDS, ROWS = 128, 32, 4
 _coef = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(map(cl.coefficients, range(HASHES))))
 SIGS = f"""{REPS}, sh AS (SELECT DISTINCT unit, unnest(list_transform(range(len(ops) - 2), lambda i: array_to_string(ops[i + 1 : i + 3], ' '))) AS s FROM rep),
 x AS (SELECT unit, ('0x' || substr(md5(s), 1, 15))::BIGINT % 2147483647 AS x FROM sh), k(i, a, b) AS (VALUES {_coef}), sg AS (SELECT unit, i, min((x * a + b) % 2147483647) AS m FROM x, k GROUP BY ALL),
 bk AS (SELECT unit, i // 4 AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS key FROM sg GROUP BY ALL), ca AS (SELECT DISTINCT p.unit AS a, q.unit AS b FROM bk p JOIN bk q ON p.band = q.band AND p.key = q.key AND p.unit < q.unit)"""
 
 
-@query("minhash_sig", f"{SIGS} SELECT unit, CAST(i AS INTEGER) AS i, CAST(m AS BIGINT) AS m FROM sg WHERE i < 8")
+@query("minhash_sig", f"{SIGS} SELECT unit, CAST(i AS INTEGER) AS i, CAST(m AS BIGINT) AS m FROM sg")
 def _(spark, folder):
-    return cl.signatures(_reps(spark, folder), 3, HASHES).filter("i < 8")
+    return cl.signatures(_reps(spark, folder), 3, HASHES)
 
 
 def _candidates(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -276,18 +276,47 @@ def _(spark, folder):
     return _candidates(spark, folder)[1].select("a", "b", r6("estimate").alias("estimate"))
 
 
-@query("jaccard_pairs", f"{SIGS}, nn AS (SELECT unit, count(*) AS n FROM sh GROUP BY unit), cc AS (SELECT ca.a, ca.b, count(*) AS c FROM ca JOIN sh p ON p.unit = ca.a JOIN sh q ON q.unit = ca.b AND p.s = q.s GROUP BY ALL) SELECT cc.a, cc.b, round(c / (p.n + q.n - c), 6) AS jaccard FROM cc JOIN nn p ON p.unit = cc.a JOIN nn q ON q.unit = cc.b WHERE c / (p.n + q.n - c) >= 0.5")
-def _(spark, folder):
-    reps, pairs = _candidates(spark, folder)
-    return cl.exact_jaccard(pairs, reps, 3).filter("jaccard >= 0.5").select("a", "b", r6("jaccard").alias("jaccard"))
+def _similar_sql(k: int, least: float, name: str) -> str:
+    """name: (a, b, jaccard) of all pairs of rep that share a k-shingle and reach ``least``."""
+    return f"""sh{k} AS (SELECT DISTINCT unit, unnest(list_transform(range(len(ops) - {k - 1}), lambda i: array_to_string(ops[i + 1 : i + {k}], ' '))) AS s FROM rep), nn{k} AS (SELECT unit, count(*) AS n FROM sh{k} GROUP BY unit),
+cc{k} AS (SELECT p.unit AS a, q.unit AS b, count(*) AS c FROM sh{k} p JOIN sh{k} q ON p.s = q.s AND p.unit < q.unit GROUP BY ALL),
+{name} AS (SELECT cc{k}.a, cc{k}.b, c / (p.n + q.n - c) AS jaccard FROM cc{k} JOIN nn{k} p ON p.unit = cc{k}.a JOIN nn{k} q ON q.unit = cc{k}.b WHERE c / (p.n + q.n - c) >= {least})"""
 
 
-@query("jaccard_pairs_all", f"{REPS}, sh AS (SELECT DISTINCT unit, unnest(list_transform(range(len(ops) - 2), lambda i: array_to_string(ops[i + 1 : i + 3], ' '))) AS s FROM rep), nn AS (SELECT unit, count(*) AS n FROM sh GROUP BY unit), cc AS (SELECT p.unit AS a, q.unit AS b, count(*) AS c FROM sh p JOIN sh q ON p.s = q.s AND p.unit < q.unit GROUP BY ALL) SELECT cc.a, cc.b, round(c / (p.n + q.n - c), 6) AS jaccard FROM cc JOIN nn p ON p.unit = cc.a JOIN nn q ON q.unit = cc.b WHERE c / (p.n + q.n - c) >= 0.5")
+@query("jaccard_pairs", f"{REPS}, {_similar_sql(3, 0.5, 'jp')} SELECT a, b, round(jaccard, 6) AS jaccard FROM jp")
 def _(spark, folder):
-    """All similar pairs, where jaccard_pairs has those of its bands."""
+    """All pairs of at least 0.5."""
     return cl.similar_units(cut(_reps(spark, folder)), 3, 0.5).select("a", "b", r6("jaccard").alias("jaccard"))
 
 
+LENGTHS = (3, 4, 5)
+
+
+@query("best_jaccard", f"{REPS}, {', '.join(_similar_sql(k, 0.5, f'j{k}') for k in LENGTHS)}, u AS ({' UNION ALL '.join(f'SELECT a, b, {k} AS k, round(jaccard, 6) AS jaccard FROM j{k}' for k in LENGTHS)}) SELECT a, b, CAST(arg_min(k, (-jaccard, k)) AS INTEGER) AS k, max(jaccard) AS jaccard FROM u GROUP BY a, b")
+def _(spark, folder):
+    """Pairs of at least 0.5 at any shingle length, with the length at which they are most similar."""
+    reps = cut(_reps(spark, folder))
+    found = cu.union_all([cl.similar_units(reps, k, 0.5).select("a", "b", F.lit(k).alias("k"), r6("jaccard").alias("jaccard")) for k in LENGTHS])
+    best = found.groupBy("a", "b").agg(F.max(F.struct("jaccard", (-F.col("k")).alias("k"))).alias("m"))
+    return best.select("a", "b", (-F.col("m.k")).alias("k"), "m.jaccard")
+
+
+FUZZY = f"WITH RECURSIVE {SQL_F}, rep AS (SELECT min(function_id) AS unit, ops FROM f WHERE len(ops) >= 5 GROUP BY ops), {_similar_sql(5, 0.85, 'jf')}, e AS (SELECT a, b FROM jf UNION SELECT b, a FROM jf UNION SELECT unit, unit FROM rep), r AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a), top AS (SELECT id, min(o) AS family FROM r GROUP BY id), fz AS (SELECT function_id, family FROM f JOIN rep USING (ops) JOIN top ON id = unit)"
+
+
+@query("neardup_fuzzy", f"{FUZZY} SELECT function_id, family FROM fz QUALIFY count(*) OVER (PARTITION BY family) >= 2")
+def _(spark, folder):
+    """Families of functions linked by a similarity of 0.85 of their 5-shingles, copies included."""
+    f = cut(functions(spark, folder).filter("size >= 5").select("function_id", "ops", F.md5(F.array_join("ops", " ")).alias("h")))
+    first = f.groupBy("h").agg(F.min("function_id").alias("unit"), F.count(F.lit(1)).alias("n"))
+    classes = cut(f.select("function_id", "h").join(grows(first), "h").select("function_id", "unit"))
+    reps = f.join(grows(classes.filter("function_id = unit").select("function_id")), "function_id", "left_semi").select(F.col("function_id").alias("unit"), "ops")
+    links = cl.similar_units(cut(reps), 5, 0.85).select("a", "b").union(classes.select("unit", "function_id"))
+    families = cut(cu.components(links, "a", "b").select(F.col("id").alias("function_id"), F.col("component").alias("family")))
+    several = families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("family")
+    return families.join(grows(several), "family", "left_semi").select("function_id", "family")
+
+
 @query("found_clones")
 def found_clones(spark, folder):
     """All pairs of at least 0.5 with exact similarity, alignment and clone type."""
@@ -359,6 +388,12 @@ def _(spark, folder):
     return _members(spark, folder).join(sizes, "func_id", "left").fillna(0, ["size"]).select("family_id", "func_id", "size")
 
 
+@query("family_types", f"WITH {PAIR}, {FAM}, q AS (SELECT DISTINCT x.family_id, a, b, clone_type FROM cp JOIN fm x ON x.func_id = a JOIN fm y ON y.func_id = b AND x.family_id = y.family_id WHERE clone_type IS NOT NULL), n AS (SELECT family_id, clone_type, count(*) AS c FROM q GROUP BY ALL), t AS (SELECT family_id, arg_min(clone_type, (-c, clone_type)) AS dominant, CAST(sum(c) AS BIGINT) AS pairs FROM n GROUP BY family_id) SELECT DISTINCT family_id, coalesce(dominant, 3) AS dominant, coalesce(pairs, 0) AS pairs FROM fm LEFT JOIN t USING (family_id)")
+def _(spark, folder):
+    """The commonest type of the stored pairs inside each family, the smaller of equally common ones, 3 without pairs."""
+    return cl.dominant_types(_members(spark, folder), _stored(spark, folder))
+
+
 @query("family_size_hist", f"WITH {FAM} SELECT size, count(*) AS families FROM (SELECT family_id, count(*) AS size FROM fm GROUP BY family_id) GROUP BY size")
 def _(spark, folder):
     return _members(spark, folder).groupBy("family_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("families"))
