@@ -19,7 +19,7 @@ def held(spark) -> int:
     return sum(files.apply(i).length() for i in range(files.size())) + sum(map(os.path.getsize, kept))
 
 
-@pytest.mark.parametrize("name, most", [("lsh_candidates", 100_000)])
+@pytest.mark.parametrize("name, most", [("lsh_candidates", 100_000), ("best_jaccard", 100_000)])
 def test_disk_of_a_query(spark, folder, name, most):
     """What a query holds besides its result follows its functions, not its hashes, bands or pairs."""
     before = held(spark)
@@ -46,3 +46,18 @@ def test_estimates_in_rounds(spark):
     for entries, least in ((5_000_000, 4), (1, 3)):
         got = clones.banded_estimates(units, 3, 8, 4, entries, least)
         assert sorted(map(tuple, got.select("a", "b", F.col("estimate")).collect())) == want
+
+
+def test_similar_units_in_rounds(spark):
+    """Rounds give the pairs that one round gives, once; different tokens that join to the same shingle are the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(20):
+        base = [f"o{x}" for x in rng.integers(0, 90, 30)]
+        rows += [base, base[:25] + [f"o{x}" for x in rng.integers(0, 90, 5)]]
+    rows += [["a b", "c", "d", *rows[0]], ["a", "b c", "d", *rows[0]]]
+    sets = [{" ".join(r[i : i + 3]) for i in range(len(r) - 2)} for r in rows]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(rows)) for b in range(a + 1, len(rows))}
+    want = sorted((a, b, j) for (a, b), j in want.items() if j >= 0.5)
+    units = spark.createDataFrame(list(enumerate(rows)), "unit bigint, ops array<string>")
+    assert len(want) > 15 and sorted(map(tuple, clones.similar_units(units, 3, 0.5, entries=1, floor=40).collect())) == want
